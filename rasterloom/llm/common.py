@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -69,6 +70,11 @@ class Scratch:
         if path := getattr(df, "_scratch_path", None):
             self.delete(path)
 
+    def sweep(self) -> None:
+        """Let Spark's cleaner see that nothing refers to the shuffles of written tables any more."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     @staticmethod
     def keep(df: DataFrame) -> DataFrame:
         """A reliable checkpoint; Spark's cleaner removes it once no plan refers to it."""
@@ -93,6 +99,14 @@ def ascii_lower(col):
     return F.translate(col, ASCII_UP, ASCII_LOW)
 
 
+def hash_sample(df: DataFrame, total: int, size: int, seed: int, *keys: str) -> DataFrame:
+    """The ``size`` rows with the smallest hashes of ``keys``. ``total`` counts the rows, so that a bound on
+    the hash leaves about twice as many to order, however many tasks there are."""
+    h = F.xxhash64(F.lit(seed), *keys)
+    bound = int(min(1.0, 2 * size / max(1, total)) * 2**64) - 2**63 - 1
+    return df.where(h <= bound).orderBy(h, *keys).limit(size)
+
+
 def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges(a, b)``: rows ``(id, component)``, component the
     smallest id reachable. Only ids on an edge appear.

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, prepare
+from .common import Scratch, hash_sample, prepare
 from .vector_dedup import valid
 
 #: Vectors that bounds, quantiles and the window are fitted on, at most, and of those the queries of the fit.
@@ -158,7 +158,7 @@ def curve_search(spark: SparkSession, vectors: DataFrame, query_rows, k: int = 1
         n, n_queries = points.agg(F.count("*"), F.count_if("is_query")).first()
         if not n_queries:
             return empty
-        sample = np.array([r["e"] for r in points.orderBy(F.xxhash64(F.lit(seed), "id")).limit(SAMPLE).select("e").collect()])
+        sample = np.array([r["e"] for r in hash_sample(points, n, SAMPLE, seed, "id").select("e").collect()])
         curves = Curves(sample, seed)
         share = fit_window(curves, sample, k, recall, seed)
         blocks = int(min(MOST_BLOCKS, max(1, -(-n // BLOCK))))

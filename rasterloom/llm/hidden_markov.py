@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, prepare
+from .common import Scratch, hash_sample, prepare
 
 STATES, CLASSES, ROUNDS = 8, 8192, 2
 #: The first estimate is fitted on at most so many learning documents of at most so many characters.
@@ -262,7 +262,8 @@ def lm_score(spark: SparkSession, docs: DataFrame, states: int = STATES, rounds:
         of_class[:, CLASSES] = ends, ends > 0
         n, v = (int(x) for x in of_class.sum(1))
         overall = (of_class[0] + 1) / (n + CLASSES + 1)
-        some = rows.where(F.col("learn") & (F.length("text") <= SAMPLE_CHARS) & (F.length("text") > 0)).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "text").limit(SAMPLE)
+        some = rows.where(F.col("learn") & (F.length("text") <= SAMPLE_CHARS) & (F.length("text") > 0))
+        some = hash_sample(some, ends, SAMPLE, seed, "doc_id")
         model = first_model([r["text"].encode() for r in some.select("text").collect()], overall, states, seed)
         sums = [F.sum(f"s{i}").alias(f"s{i}") for i in range(states)]
         for _ in range(rounds if n else 0):

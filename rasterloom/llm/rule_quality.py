@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import hash_sample, prepare
 
 #: Labelled documents that the model is fitted on, at most: those with the smallest hashes.
 SAMPLE = 20_000
@@ -181,7 +181,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
     these documents only.
     """
     chosen = labels.where(F.col("quality").isin(0, 1) & ~held_out("doc_id", 4, 2)).groupBy("doc_id").agg(F.min("quality").alias("__y"), F.max("quality").alias("__z"))
-    chosen = chosen.where("__y = __z AND doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = chosen.where("__y = __z AND doc_id IS NOT NULL")
+    chosen = hash_sample(chosen, chosen.count(), sample, 42, "doc_id")
     chosen = spark.createDataFrame(chosen.select(F.col("doc_id").cast("long").alias("__id"), F.col("__y").cast("int").alias("__y")).toPandas(), "__id long, __y int")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
     rows, names = with_statistics(rows)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, prepare
+from .common import Scratch, components, hash_sample, prepare
 
 #: Labelled vectors that the centroids are fitted on, at most.
 SAMPLE = 20_000
@@ -125,7 +125,7 @@ def vector_dedup(spark: SparkSession, vectors: DataFrame, cosine: float = 0.98,
 
 def _block_links(spark, scratch, nodes: DataFrame, dim: int, total: int, cosine: float, seed: int) -> DataFrame:
     k = int(min(MOST_CELLS, max(1, -(-total // CELL))))
-    sample = np.array([r["e"] for r in nodes.orderBy(F.xxhash64(F.lit(seed), "id")).limit(SAMPLE).select("e").collect()])
+    sample = np.array([r["e"] for r in hash_sample(nodes, total, SAMPLE, seed, "id").select("e").collect()])
     sample = sample / np.abs(sample).max(1, keepdims=True)
     sample /= np.linalg.norm(sample, axis=1, keepdims=True)
     k = min(k, len(sample))
