@@ -11,9 +11,9 @@ Bands of sizes overlap: a set belongs to the band that starts below its size and
 in the next, to that one, too.
 
 Equal sets are one class with one representative before any of this. In a bucket of equal
-signatures, members are compared with its leader only, the member that shares most signatures with
-others; pairs of members that are then in one component need no comparison, the others are
-compared in a last round. All comparisons are exact counts.
+signatures, members are first compared with its leader only, the member that shares most signatures
+with others. Members that are then in one component need no comparison; the remaining ones are compared
+block by block, where only links leave a block. All comparisons are exact counts.
 """
 
 from __future__ import annotations
@@ -21,14 +21,21 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, mix64, prepare
 
 MEMO = 300_000
+#: Buckets of at most so many members are paired in the last comparison; sets of a block there.
+SMALL_BUCKET = 32
+BLOCK = 256
+#: Signatures only propose pairs, so a shorter hash costs comparisons, never links.
+SIGNATURE_BITS = 48
 
 
 class Shingler:
@@ -107,12 +114,40 @@ def signatures(features: np.ndarray, t: float) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def bitmap(features: np.ndarray) -> bytes:
+    """One bit per element hash, two to four bits an element: folding halves makes maps of different sizes comparable."""
+    size = 64 << max(0, (2 * len(features) - 1).bit_length() - 6)
+    out = np.zeros(size, np.uint8)
+    out[(features & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def may_link(x: bytes, y: bytes, n: int, m: int, percent: int) -> bool:
+    """False only for sets of ``n`` and ``m`` elements that cannot link: a bit that one map alone has is an element that one set alone has."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] | a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    both = min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum()))
+    return 100 * both >= percent * (n + m - both)
+
+
+def _may_link_rows(percent: int):
+    def run(batches):
+        for b in batches:
+            rows = zip(*(b.column(i).to_pylist() for i in range(2, 6)))
+            yield b.select([0, 1]).filter(pa.array([may_link(x, y, n, m, percent) for x, y, n, m in rows], pa.bool_()))
+
+    return run
+
+
 def _set_rows(n: int):
     def run(batches):
         shingle = Shingler(n)
         for b in batches:
             found = [shingle(text) for text in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array([_set_id(f) for f in found], pa.int64())], ["doc_id", "n_shingles", "id"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array([_set_id(f) for f in found], pa.int64()), pa.array(map(bitmap, found), pa.binary())], ["doc_id", "n_shingles", "id", "bits"])
 
     return run
 
@@ -122,15 +157,14 @@ def _signature_rows(n: int, t: float):
         shingle, seen = Shingler(n), set()
         for b in batches:
             ids, sigs, held = [], [], 0
-            for text in b.column(0).cast(pa.binary()).to_pylist():
-                f = shingle(text)
-                if not len(f) or (own := _set_id(f)) in seen:  # copies in a task count once
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
+                if doc is None or not len(f := shingle(text)) or (own := _set_id(f)) in seen:  # copies in a task count once
                     continue
                 if len(seen) > MEMO:
                     seen.clear()
                 seen.add(own)
-                s = signatures(f, t)
-                ids.append(np.full(len(s), own, np.int64))
+                s = signatures(f, t) >> np.uint64(64 - SIGNATURE_BITS)
+                ids.append(np.full(len(s), doc, np.int64))
                 sigs.append(s.view(np.int64))
                 held += len(s)
                 if held > 100_000:
@@ -182,22 +216,33 @@ def _sieve(bloom):
     return run
 
 
-def _features(n: int):
+def _packed(n: int):
+    """A set's text, compressed: a quarter of its hashes' size."""
+
     def run(batches):
-        shingle = Shingler(n)
+        shingle, pack = Shingler(n), zstandard.ZstdCompressor(level=3).compress
         for b in batches:
-            found = [f for x in b.column(1).cast(pa.binary()).to_pylist() if len(f := shingle(x))]
-            yield pa.RecordBatch.from_arrays([pa.array([_set_id(f) for f in found], pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())], ["id", "features"])
+            texts = [x for x in b.column(1).cast(pa.binary()).to_pylist() if x and x.split()]
+            yield pa.RecordBatch.from_arrays([pa.array([_set_id(shingle(x)) for x in texts], pa.int64()), pa.array([pack(x) for x in texts], pa.binary())], ["id", "packed"])
 
     return run
 
 
-def _linked(percent: int):
+def _linked(n: int, percent: int):
     def run(batches):
+        shingle, unpack, held = Shingler(n), zstandard.ZstdDecompressor().decompress, {}
+
+        def features(id_: int, packed) -> np.ndarray:
+            if (f := held.get(id_)) is None:
+                if len(held) >= 64:
+                    held.clear()
+                f = held[id_] = shingle(unpack(packed.as_buffer()))
+            return f
+
         for b in batches:
             keep = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+            for i, j, u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+                x, y = features(i, u), features(j, v)
                 union = len(np.union1d(x, y))
                 keep.append(100 * (len(x) + len(y) - union) >= percent * union)
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -226,17 +271,114 @@ def _id_filter(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def _verify(scratch: Scratch, texts: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` of set ids that link, by exact counts. Only the candidates' texts are shuffled."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    wanted = scratch.table(classes.join(ids, "id", "left_semi").select("id", F.col("rep").alias("doc_id")).where("doc_id IS NOT NULL"))
+def _texts_of(scratch: Scratch, texts: DataFrame, classes: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """(id, packed) of these set ids. Only the candidates' texts are shuffled."""
+    wanted = scratch.table(classes.join(ids.distinct(), "id", "left_semi").select("id", F.col("rep").alias("doc_id")).where("doc_id IS NOT NULL"))
     sent = scratch.spark.sparkContext.broadcast(_id_filter(wanted.select("doc_id")))
     found = texts.mapInArrow(_sieve(sent), texts.schema).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = found.mapInArrow(_features(n), "id long, features binary").join(wanted.select("id"), "id", "left_semi")
-    sets = scratch.table(sets.groupBy("id").agg(F.first("features").alias("features")))
-    left = sets.select(F.col("id").alias("a"), F.col("features").alias("fa"))
-    right = sets.select(F.col("id").alias("b"), F.col("features").alias("fb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "fa", "fb").mapInArrow(_linked(percent), "a long, b long")
+    out = scratch.table(found.mapInArrow(_packed(n), "id long, packed binary").groupBy("id").agg(F.first("packed").alias("packed")))
+    scratch.drop(wanted)
+    return out
+
+
+def _fits(x: str, y: str, percent: int):
+    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
+
+
+def _with_leaders(scratch: Scratch, texts: DataFrame, classes: DataFrame, known: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links of the bucket's members to its leader, the member that shares most signatures with others."""
+    leaders = known.groupBy("sig").agg(F.max(F.struct("c", F.col("id").alias("lead"), F.col("n").alias("ln"))).alias("l")).select("sig", "l.lead", "l.ln")
+    pairs = known.join(leaders, "sig").where((F.col("id") != F.col("lead")) & _fits("n", "ln", percent))
+    pairs = pairs.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+    return _verify(scratch, texts, classes, pairs, n, percent)
+
+
+def _verify(scratch: Scratch, texts: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` that link. Bitmaps rule out most of the others before any text moves."""
+    side = lambda c: classes.select(F.col("id").alias(c), F.col("bits").alias(f"m{c}"), F.col("n").alias(f"n{c}"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ma", "mb", "na", "nb").mapInArrow(_may_link_rows(percent), "a long, b long")
+    pairs = scratch.table(pairs)
+    sets = _texts_of(scratch, texts, classes, pairs.select(F.col("a").alias("id")).union(pairs.select("b")), n)
+    left = sets.select(F.col("id").alias("a"), F.col("packed").alias("pa"))
+    right = sets.select(F.col("id").alias("b"), F.col("packed").alias("pb"))
+    out = scratch.table(pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb").mapInArrow(_linked(n, percent), "a long, b long"))
+    scratch.drop(sets)
+    return out
+
+
+def _compare_blocks(n: int, percent: int):
+    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """Links between a block of sets and another, at most one from each left set to each component."""
+        a, b = [], []
+        if len(left) and len(right):
+            shingle, unpack = Shingler(n), zstandard.ZstdDecompressor().decompress
+            sets = [shingle(unpack(x)) for x in right["packed"]]
+            sizes = np.array([len(f) for f in sets])
+            flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            ids, comps = right["id"].to_numpy(), right["comp"].to_numpy()
+            for id_, comp, packed in zip(left["id"], left["comp"], left["packed"]):
+                f = shingle(unpack(packed))
+                low, high = np.searchsorted(flat, f, "left"), np.searchsorted(flat, f, "right")
+                count = high - low
+                at = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+                both = np.bincount(owner[at], minlength=len(sets))
+                hit = np.flatnonzero((100 * both >= percent * (len(f) + sizes - both)) & (comps != comp))
+                for c in np.unique(comps[hit]):
+                    a.append(id_)
+                    b.append(ids[hit][comps[hit] == c].min())
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return run
+
+
+def _across(scratch: Scratch, texts: DataFrame, classes: DataFrame, known: DataFrame, comps: DataFrame, n: int, percent: int) -> DataFrame | None:
+    """Links between sets that share a bucket but no component yet.
+
+    The members of a small bucket are paired. Sets that large ones connect form a cluster: there, sets outside
+    the largest component meet all sets of fitting size, block by block; intersections are counted in the block
+    and only links leave it.
+    """
+    spark = scratch.spark
+    own = known.join(comps, "id").select("sig", "id", "n", "comp")
+    open_ = own.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("id").alias("first"), F.count("*").alias("size")).where("low < high")
+    open_ = scratch.table(own.join(open_.select("sig", "first", "size"), "sig"))
+    if not open_.limit(1).count():
+        return None
+    small = open_.where(F.col("size") <= SMALL_BUCKET)
+    other = small.select("sig", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
+    pairs = small.join(other, "sig").where((F.col("id") < F.col("id2")) & (F.col("comp") != F.col("comp2")) & _fits("n", "n2", percent))
+    links = _verify(scratch, texts, classes, pairs.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct(), n, percent)
+    open_ = open_.where(F.col("size") > SMALL_BUCKET)
+    if not open_.limit(1).count():
+        return links
+    clusters = components(spark, open_.select(F.col("id").alias("a"), F.col("first").alias("b")).distinct(), scratch)
+    members = open_.groupBy("id").agg(F.first("n").alias("n"), F.first("comp").alias("comp")).join(clusters.withColumnRenamed("component", "cluster"), "id")
+    members = members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / -math.log(percent / 100 - 1e-9)).cast("int"))
+    members = scratch.table(members)
+    largest = members.groupBy("cluster", "comp").agg(F.count("*").alias("k")).groupBy("cluster").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
+    members = members.join(largest, "cluster").withColumn("rest", F.col("comp") != F.col("main")).drop("main")
+    sizes = members.groupBy("cluster", "band").agg(F.ceil(F.count_if("rest") / BLOCK).cast("int").alias("lefts"), F.ceil(F.count("*") / BLOCK).cast("int").alias("rights"))
+    near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
+    meets = sizes.select("cluster", F.col("band").alias("lb"), "lefts", near.alias("rb")).where("lefts > 0").join(sizes.select("cluster", F.col("band").alias("rb"), "rights"), ["cluster", "rb"])
+    meets = scratch.table(meets)
+    sets = _texts_of(scratch, texts, classes, members.select("id"), n)
+    full = scratch.table(members.join(sets, "id"))
+    span = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    spot = lambda c: F.pmod(F.xxhash64(F.lit(3), "id"), F.col(c)).cast("int")
+    left = full.where("rest").withColumnRenamed("band", "lb").join(meets, ["cluster", "lb"]).select("cluster", "lb", "rb", spot("lefts").alias("i"), span("rights").alias("j"), "id", "comp", "packed")
+    right = full.withColumnRenamed("band", "rb").join(meets, ["cluster", "rb"]).select("cluster", "lb", "rb", span("lefts").alias("i"), spot("rights").alias("j"), "id", "comp", "packed")
+    right = right.select(*(F.col(c).alias(c) for c in right.columns))
+    keys = ["cluster", "lb", "rb", "i", "j"]
+    return links.unionByName(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_compare_blocks(n, percent), "a long, b long"))
+
+
+def _merge(spark: SparkSession, scratch: Scratch, comps: DataFrame, links: DataFrame) -> DataFrame:
+    """``comps(id, comp)`` after ``links``: the components' own graph is small."""
+    edges = links.join(comps.select(F.col("id").alias("a"), F.col("comp").alias("x")), "a").join(comps.select(F.col("id").alias("b"), F.col("comp").alias("y")), "b")
+    labels = components(spark, edges.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch)
+    return scratch.table(comps.join(labels.withColumnRenamed("id", "comp"), "comp", "left").select("id", F.coalesce("component", "comp").alias("comp")))
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, threshold: int = 80) -> DataFrame:
@@ -246,8 +388,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, thresho
     distinct n-grams, the whole sequence where it has fewer words. Two documents link when
     100 * intersection >= threshold * union. component_id is the smallest doc_id reachable by
     links, itself included. Null and empty texts have an empty set, link with nothing and are their
-    own component. A row without doc_id links by its text but lends no id; where nothing it reaches
-    has one, its component is null. Rows that repeat a doc_id are documents of their own. An empty
+    own component. Rows without doc_id link with nothing and have a null component. Rows that repeat a doc_id are documents of their own. An empty
     table gives an empty result; other columns are left out. Sets and their elements are compared by
     64-bit hashes.
     """
@@ -255,37 +396,27 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, thresho
     t = threshold / 100
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with Scratch(spark) as scratch:
-        sets = scratch.table(texts.mapInArrow(_set_rows(n), "doc_id long, n_shingles long, id long"))
-        classes = scratch.table(sets.where("n_shingles > 0").groupBy("id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")))
-        rows = texts.select("text").mapInArrow(_signature_rows(n, t), "sig long, id long")
+        sets = scratch.table(texts.mapInArrow(_set_rows(n), "doc_id long, n_shingles long, id long, bits binary"))
+        classes = scratch.table(sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits")))
+        rows = texts.mapInArrow(_signature_rows(n, t), "sig long, id long")
         rows = rows.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(_shared_rows, "sig long, id long")
-        shared = scratch.table(rows)
+        by_doc = scratch.table(rows.withColumnRenamed("id", "doc_id"))
+        del rows
+        scratch.sweep()
+        shared = scratch.table(by_doc.join(sets.where("n_shingles > 0").select("doc_id", "id"), "doc_id").select("sig", "id").distinct())
+        scratch.drop(by_doc)
         counts = shared.groupBy("id").agg(F.count("*").alias("c")).join(classes.select("id", "n"), "id")
         known = scratch.table(shared.join(counts, "id"))
-        leaders = scratch.table(known.groupBy("sig").agg(F.max(F.struct("c", F.col("id").alias("lead"), F.col("n").alias("ln"))).alias("l")).select("sig", "l.lead", "l.ln"))
-        fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * threshold
-        pairs = known.join(leaders, "sig").where((F.col("id") != F.col("lead")) & fits(F.col("n"), F.col("ln")))
-        pairs = scratch.table(pairs.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct())
-        links = scratch.table(_verify(scratch, texts, classes, pairs, n, threshold))
-        labels = components(spark, links, scratch)
-        # buckets that still hold more than one component: compare across, main component against the rest
-        own = known.join(labels, "id", "left").select("sig", "id", "n", F.coalesce("component", "id").alias("comp"))
-        split = own.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("sig")
-        open_ = scratch.table(own.join(split, "sig", "left_semi"))
-        lead_comp = open_.join(leaders.select("sig", "lead"), "sig").where("id = lead").select("sig", F.col("comp").alias("main"))
-        parted = scratch.table(open_.join(lead_comp, "sig"))
-        rest = parted.where("comp <> main").select("sig", "id", "n", "comp")
-        other = parted.select("sig", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), (F.col("comp") == F.col("main")).alias("is_main"))
-        across = rest.join(other, "sig").where((F.col("comp") != F.col("comp2")) & (F.col("is_main") | (F.col("id") < F.col("id2"))) & fits(F.col("n"), F.col("n2")))
-        across = across.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        across = scratch.table(across)
-        if across.limit(1).count():
-            more = scratch.table(_verify(scratch, texts, classes, across, n, threshold))
-            labels = components(spark, links.unionByName(more), scratch)
-        least = classes.join(labels, "id", "left").select("id", "rep", F.coalesce("component", "id").alias("comp"))
+        scratch.drop(shared)
+        comps = scratch.table(known.select("id", F.col("id").alias("comp")).distinct())
+        comps = _merge(spark, scratch, comps, _with_leaders(scratch, texts, classes, known, n, threshold))
+        scratch.sweep()
+        if (links := _across(scratch, texts, classes, known, comps, n, threshold)) is not None:
+            comps = _merge(spark, scratch, comps, links)
+        least = classes.join(comps, "id", "left").select("id", "rep", F.coalesce("comp", "id").alias("comp"))
         names = least.groupBy("comp").agg(F.min("rep").alias("component_id"))
         named = least.join(names, "comp").select("id", "component_id")
-        out = sets.join(named, "id", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        out = sets.join(named, "id", "left").select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
         return scratch.keep(out)
 
 

@@ -305,7 +305,7 @@ def test_jaccard(spark, docs, corpus, n, percent):
 
 
 def test_partenum_misses_nothing():
-    from rasterloom.llm.near_jaccard import signatures
+    from rasterloom.llm.near_jaccard import bitmap, may_link, signatures
 
     rng = np.random.default_rng(4)
     for t in (0.8, 0.9):
@@ -318,6 +318,9 @@ def test_partenum_misses_nothing():
             both = len(np.intersect1d(a, b))
             if both >= t * (len(a) + len(b) - both) and len(np.union1d(a, b)) > both:
                 assert len(np.intersect1d(signatures(a, t), signatures(b, t)))
+                assert may_link(bitmap(a), bitmap(b), len(a), len(b), round(100 * t))
+    apart = [np.unique(rng.integers(0, 2**63, 500, dtype=np.uint64)) for _ in range(2)]
+    assert not may_link(bitmap(apart[0]), bitmap(apart[1]), len(apart[0]), len(apart[1]), 80)
 
 
 # 8
