@@ -33,7 +33,7 @@ from .common import Scratch, components, mix64, prepare
 MEMO = 300_000
 #: Buckets of at most so many members are paired in the last comparison; sets of a block there.
 SMALL_BUCKET = 32
-BLOCK = 256
+BLOCK = 2048
 #: Signatures only propose pairs, so a shorter hash costs comparisons, never links.
 SIGNATURE_BITS = 48
 
@@ -311,23 +311,35 @@ def _compare_blocks(n: int, percent: int):
         """Links between a block of sets and another, at most one from each left set to each component."""
         a, b = [], []
         if len(left) and len(right):
-            shingle, unpack = Shingler(n), zstandard.ZstdDecompressor().decompress
-            sets = [shingle(unpack(x)) for x in right["packed"]]
-            sizes = np.array([len(f) for f in sets])
-            flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-            order = np.argsort(flat, kind="stable")
-            flat, owner = flat[order], owner[order]
-            ids, comps = right["id"].to_numpy(), right["comp"].to_numpy()
-            for id_, comp, packed in zip(left["id"], left["comp"], left["packed"]):
-                f = shingle(unpack(packed))
-                low, high = np.searchsorted(flat, f, "left"), np.searchsorted(flat, f, "right")
-                count = high - low
-                at = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-                both = np.bincount(owner[at], minlength=len(sets))
-                hit = np.flatnonzero((100 * both >= percent * (len(f) + sizes - both)) & (comps != comp))
-                for c in np.unique(comps[hit]):
-                    a.append(id_)
-                    b.append(ids[hit][comps[hit] == c].min())
+            shingle, unpack, held = Shingler(n), zstandard.ZstdDecompressor().decompress, {}
+
+            def features(id_: int, packed: bytes) -> np.ndarray:
+                if id_ not in held:
+                    held[id_] = shingle(unpack(packed))
+                return held[id_]
+
+            ids, comps, sizes, texts = (right[c].to_numpy() for c in ("id", "comp", "n", "packed"))
+            widths = right["bits"].map(len).to_numpy()
+            maps = {w: (at := np.flatnonzero(widths == w), np.array([np.frombuffer(right["bits"].iloc[i], np.uint64) for i in at])) for w in np.unique(widths)}
+            for id_, comp, size, bits, packed in zip(left["id"], left["comp"], left["n"], left["bits"], left["packed"]):
+                linked = set()
+                for at, theirs in maps.values():
+                    own = np.frombuffer(bits, np.uint64)
+                    while len(own) > theirs.shape[1]:
+                        own = own[: len(own) // 2] | own[len(own) // 2 :]
+                    while theirs.shape[1] > len(own):
+                        theirs = theirs[:, : theirs.shape[1] // 2] | theirs[:, theirs.shape[1] // 2 :]
+                    m = sizes[at]
+                    both = np.minimum(size - np.bitwise_count(own & ~theirs).sum(1, dtype=np.int64), m - np.bitwise_count(theirs & ~own).sum(1, dtype=np.int64))
+                    for i in at[(100 * both >= percent * (size + m - both)) & (comps[at] != comp)]:
+                        if comps[i] in linked:
+                            continue
+                        f, g = features(id_, packed), features(ids[i], texts[i])
+                        union = len(np.union1d(f, g))
+                        if 100 * (len(f) + len(g) - union) >= percent * union:
+                            linked.add(comps[i])
+                            a.append(id_)
+                            b.append(ids[i])
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
     return run
@@ -337,8 +349,8 @@ def _across(scratch: Scratch, texts: DataFrame, classes: DataFrame, known: DataF
     """Links between sets that share a bucket but no component yet.
 
     The members of a small bucket are paired. Sets that large ones connect form a cluster: there, sets outside
-    the largest component meet all sets of fitting size, block by block; intersections are counted in the block
-    and only links leave it.
+    the largest component meet all sets of fitting size, block by block; bitmaps rule out most pairs, the others are
+    counted exactly in the block, and only links leave it.
     """
     spark = scratch.spark
     own = known.join(comps, "id").select("sig", "id", "n", "comp")
@@ -364,11 +376,11 @@ def _across(scratch: Scratch, texts: DataFrame, classes: DataFrame, known: DataF
     meets = sizes.select("cluster", F.col("band").alias("lb"), "lefts", near.alias("rb")).where("lefts > 0").join(sizes.select("cluster", F.col("band").alias("rb"), "rights"), ["cluster", "rb"])
     meets = scratch.table(meets)
     sets = _texts_of(scratch, texts, classes, members.select("id"), n)
-    full = scratch.table(members.join(sets, "id"))
+    full = scratch.table(members.join(sets, "id").join(classes.select("id", "bits"), "id"))
     span = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     spot = lambda c: F.pmod(F.xxhash64(F.lit(3), "id"), F.col(c)).cast("int")
-    left = full.where("rest").withColumnRenamed("band", "lb").join(meets, ["cluster", "lb"]).select("cluster", "lb", "rb", spot("lefts").alias("i"), span("rights").alias("j"), "id", "comp", "packed")
-    right = full.withColumnRenamed("band", "rb").join(meets, ["cluster", "rb"]).select("cluster", "lb", "rb", span("lefts").alias("i"), spot("rights").alias("j"), "id", "comp", "packed")
+    left = full.where("rest").withColumnRenamed("band", "lb").join(meets, ["cluster", "lb"]).select("cluster", "lb", "rb", spot("lefts").alias("i"), span("rights").alias("j"), "id", "comp", "n", "bits", "packed")
+    right = full.withColumnRenamed("band", "rb").join(meets, ["cluster", "rb"]).select("cluster", "lb", "rb", span("lefts").alias("i"), spot("rights").alias("j"), "id", "comp", "n", "bits", "packed")
     right = right.select(*(F.col(c).alias(c) for c in right.columns))
     keys = ["cluster", "lb", "rb", "i", "j"]
     return links.unionByName(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_compare_blocks(n, percent), "a long, b long"))

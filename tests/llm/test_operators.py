@@ -291,9 +291,14 @@ def jaccard_groups(corpus, n, percent):
 
 
 @pytest.mark.parametrize("n,percent", [(3, 90), (5, 80)])
-def test_jaccard(spark, docs, corpus, n, percent):
+def test_jaccard(spark, docs, corpus, n, percent, monkeypatch):
+    from rasterloom.llm import near_jaccard
     from rasterloom.llm.near_jaccard import jaccard_components, one_of_each
 
+    if n == 3:  # large buckets
+        monkeypatch.setattr(near_jaccard, "SMALL_BUCKET", 0)
+        monkeypatch.setattr(near_jaccard, "BLOCK", 4)
+
     want = jaccard_groups(corpus, n, percent)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows(jaccard_components(spark, docs.withColumn("component_id", F.lit(0)), n, percent))}
     assert got == want
