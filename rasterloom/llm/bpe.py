@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare
+from .common import prepare, trimmed
 
 NO_RANK = 1 << 60
 #: The same for arrays.
@@ -375,7 +375,7 @@ def bpe(spark: SparkSession, docs: DataFrame, vocab_path: str, text: str = "text
             decoded = [model.decode(x) for x in ids]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary()), pa.array(decoded, want.field(len(want) - 1).type)], schema=want)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def digest(out: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +83,19 @@ class Scratch:
         return df.checkpoint(eager=True)
 
 
+def trimmed(run):
+    """``run`` over batches, then what the task freed goes back to the system: workers idle on beside later stages."""
+
+    def whole(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+            trim(0)
+
+    return whole
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser on uint64 arrays (wraps around by design)."""
     x = x.astype(np.uint64, copy=True)

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, mix64, prepare
+from .common import Scratch, components, mix64, prepare, trimmed
 
 MEMO = 300_000
 #: Buckets of at most so many members are paired in the last comparison; sets of a block there.
@@ -276,7 +276,7 @@ def _texts_of(scratch: Scratch, texts: DataFrame, classes: DataFrame, ids: DataF
     wanted = scratch.table(classes.join(ids.distinct(), "id", "left_semi").select("id", F.col("rep").alias("doc_id")).where("doc_id IS NOT NULL"))
     sent = scratch.spark.sparkContext.broadcast(_id_filter(wanted.select("doc_id")))
     found = texts.mapInArrow(_sieve(sent), texts.schema).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    out = scratch.table(found.mapInArrow(_packed(n), "id long, packed binary").groupBy("id").agg(F.first("packed").alias("packed")))
+    out = scratch.table(found.mapInArrow(trimmed(_packed(n)), "id long, packed binary").groupBy("id").agg(F.first("packed").alias("packed")))
     scratch.drop(wanted)
     return out
 
@@ -296,12 +296,12 @@ def _with_leaders(scratch: Scratch, texts: DataFrame, classes: DataFrame, known:
 def _verify(scratch: Scratch, texts: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of ``pairs(a, b)`` that link. Bitmaps rule out most of the others before any text moves."""
     side = lambda c: classes.select(F.col("id").alias(c), F.col("bits").alias(f"m{c}"), F.col("n").alias(f"n{c}"))
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ma", "mb", "na", "nb").mapInArrow(_may_link_rows(percent), "a long, b long")
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ma", "mb", "na", "nb").mapInArrow(trimmed(_may_link_rows(percent)), "a long, b long")
     pairs = scratch.table(pairs)
     sets = _texts_of(scratch, texts, classes, pairs.select(F.col("a").alias("id")).union(pairs.select("b")), n)
     left = sets.select(F.col("id").alias("a"), F.col("packed").alias("pa"))
     right = sets.select(F.col("id").alias("b"), F.col("packed").alias("pb"))
-    out = scratch.table(pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb").mapInArrow(_linked(n, percent), "a long, b long"))
+    out = scratch.table(pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb").mapInArrow(trimmed(_linked(n, percent)), "a long, b long"))
     scratch.drop(sets)
     return out
 
@@ -408,10 +408,10 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, thresho
     t = threshold / 100
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with Scratch(spark) as scratch:
-        sets = scratch.table(texts.mapInArrow(_set_rows(n), "doc_id long, n_shingles long, id long, bits binary"))
+        sets = scratch.table(texts.mapInArrow(trimmed(_set_rows(n)), "doc_id long, n_shingles long, id long, bits binary"))
         classes = scratch.table(sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits")))
-        rows = texts.mapInArrow(_signature_rows(n, t), "sig long, id long")
-        rows = rows.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(_shared_rows, "sig long, id long")
+        rows = texts.mapInArrow(trimmed(_signature_rows(n, t)), "sig long, id long")
+        rows = rows.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(trimmed(_shared_rows), "sig long, id long")
         by_doc = scratch.table(rows.withColumnRenamed("id", "doc_id"))
         del rows
         scratch.sweep()
