@@ -1,14 +1,15 @@
 """N-gram Jaccard join by PartEnum signatures.
 
-Two sets with a Jaccard similarity of at least ``t`` differ in at most ``(1 - t) / (1 + t)`` times
-the sum of their sizes. In a band of sizes up to ``u`` that is at most ``k`` elements. The feature
-domain is dealt into ``k + 2`` partitions by hash: at least two partitions are then without a
-difference, so the sets share the signatures (a hash of the set's elements there) of two partitions.
-Enumerating the subsets of one partition each therefore misses nothing; with two to spare, an empty
-partition's signature is only needed from sets that have two empty partitions.
+Two sets with a Jaccard similarity of at least ``t`` differ in at most ``k = (1 - t) / (1 + t)`` times
+the sum of their sizes elements. A pair belongs to the band of sizes that holds its smaller set, so a set
+leaves signatures in its own band and in the one below. For each band, the feature domain is dealt into
+``N`` partitions by hash: at least ``N - k`` of them are then without a difference, and a set's elements in
+one such partition, hashed, are a signature that both sets share.
 
-Bands of sizes overlap: a set belongs to the band that starts below its size and, where a partner may lie
-in the next, to that one, too.
+As similar sets share ``N - k`` signatures and one suffices to find them, each set needs only those that
+remain without its ``N - k - 1`` most frequent ones: whichever shared signature comes first in the order of
+frequency has ``N - k - 1`` shared ones behind it, in either set. That is where passages go that many
+otherwise different texts hold. Empty partitions count as the most frequent signatures of all.
 
 Equal sets are one class with one representative before any of this. In a bucket of equal
 signatures, members are first compared with its leader only, the member that shares most signatures
@@ -25,7 +26,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, mix64, prepare, trimmed
@@ -36,6 +37,8 @@ SMALL_BUCKET = 32
 BLOCK = 2048
 #: Signatures only propose pairs, so a shorter hash costs comparisons, never links.
 SIGNATURE_BITS = 48
+#: Spare partitions for each one in which similar sets may differ: more leave out more frequent signatures, but cover fewer elements each.
+EXTRA = 0.5
 
 
 class Shingler:
@@ -70,9 +73,9 @@ class Shingler:
 
 
 def bands(size: int, t: float) -> range:
-    """The bands (numbered by their floors) in which a set of this size leaves signatures."""
-    ratio = 1 / t**2
-    return range(_band(size, ratio), _band(math.floor(size / t + 1e-9), ratio) + 1)
+    """The bands (numbered by their floors) that may hold the smaller set of a similar pair in which a set of this size is."""
+    ratio = 1 / t
+    return range(_band(math.ceil(size * t - 1e-9), ratio), _band(size, ratio) + 1)
 
 
 def _band(size: int, ratio: float) -> int:
@@ -88,30 +91,45 @@ def _floor(b: int, ratio: float) -> int:
     return math.ceil(ratio**b - 1e-9)
 
 
-def differences(band: int, t: float) -> int:
-    """Elements in which two similar sets of sizes up to the band's end differ at most."""
-    top = _floor(band + 1, 1 / t**2) - 1
-    return math.floor((1 - t) / (1 + t) * 2 * top + 1e-9)
+def differences(size: int, band: int, t: float) -> int:
+    """Elements in which a set of this size differs at most from a similar one, the smaller of the two in the band."""
+    top = _floor(band + 1, 1 / t) - 1
+    other = math.floor(size / t + 1e-9) if size <= top else top
+    return math.floor((1 - t) / (1 + t) * (size + other) + 1e-9)
 
 
-def signatures(features: np.ndarray, t: float) -> np.ndarray:
-    """Signatures of a set of hashes over all its bands."""
+def partitions(band: int, t: float) -> int:
+    """Partitions of the feature domain for the band: EXTRA more for each one that similar sets may differ in."""
+    k = differences(_floor(band + 1, 1 / t) - 1, band, t)
+    return k + 1 + math.ceil(EXTRA * k)
+
+
+def band_signatures(features: np.ndarray, t: float) -> list[tuple[int, int, np.ndarray]]:
+    """(band, spare, signatures) for each of a set's bands; of the signatures, the ``spare`` most frequent ones aren't needed."""
     out = []
     mixed = mix64(features)
     for band in bands(len(features), t):
-        k = differences(band, t)
-        if k == 0:  # only equal sets are similar, and those are one class already
+        k = differences(len(features), band, t)
+        if k == 0 or _floor(band, 1 / t) == _floor(band + 1, 1 / t):  # only equal sets are similar, and those are one class already; or no size is in the band
             continue
-        parts = k + 2
+        parts = partitions(band, t)
         at = ((mixed >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
         sums = np.zeros(parts, np.uint64)
         order = np.argsort(at, kind="stable")
         where, starts = np.unique(at[order], return_index=True)
         sums[where] = np.add.reduceat(features[order] * np.uint64(0xD6E8FEB86659FD93), starts)
         salt = mix64(np.arange(parts, dtype=np.uint64) + np.uint64(band << 40))
-        use = np.arange(parts) if parts - len(where) >= 2 else where
-        out.append(mix64(sums[use] ^ salt[use]))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        spare = parts - k - 1 - (parts - len(where))
+        if spare < 0:  # the last empty partitions go first, those before them are needed
+            where = np.concatenate([where, np.setdiff1d(np.arange(parts), where)[:-spare]])
+        sigs = mix64(sums[where] ^ salt[where]) >> np.uint64(64 - SIGNATURE_BITS) << np.uint64(8) | np.uint64(band & 255)
+        out.append((band, max(0, spare), sigs))
+    return out
+
+
+def signatures(features: np.ndarray, t: float) -> np.ndarray:
+    """Signatures of a set of hashes over all its bands."""
+    return np.concatenate([np.zeros(0, np.uint64), *(s for _, _, s in band_signatures(features, t))])
 
 
 def bitmap(features: np.ndarray) -> bytes:
@@ -142,12 +160,21 @@ def _may_link_rows(percent: int):
     return run
 
 
-def _set_rows(n: int):
+SET_ROWS = "doc_id long, n_shingles long, id long, bits binary, spares array<struct<band:int,spare:int>>"
+
+
+def _set_rows(n: int, t: float):
+    spares = pa.list_(pa.struct([("band", pa.int32()), ("spare", pa.int32())]))
+
     def run(batches):
         shingle = Shingler(n)
         for b in batches:
             found = [shingle(text) for text in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array([_set_id(f) for f in found], pa.int64()), pa.array(map(bitmap, found), pa.binary())], ["doc_id", "n_shingles", "id", "bits"])
+            spare = [[{"band": band & 255, "spare": x} for band, x, _ in band_signatures(f, t)] if len(f) else [] for f in found]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array([_set_id(f) for f in found], pa.int64()), pa.array(map(bitmap, found), pa.binary()), pa.array(spare, spares)],
+                ["doc_id", "n_shingles", "id", "bits", "spares"],
+            )
 
     return run
 
@@ -163,7 +190,7 @@ def _signature_rows(n: int, t: float):
                 if len(seen) > MEMO:
                     seen.clear()
                 seen.add(own)
-                s = signatures(f, t) >> np.uint64(64 - SIGNATURE_BITS)
+                s = signatures(f, t)
                 ids.append(np.full(len(s), doc, np.int64))
                 sigs.append(s.view(np.int64))
                 held += len(s)
@@ -254,6 +281,15 @@ def _linked(n: int, percent: int):
 FILTER_BITS = 1 << 25
 
 
+def _needed(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """``shared(sig, id)`` without each set's spare most frequent signatures, and then without those that one set alone has."""
+    often = shared.groupBy("sig").agg(F.count("*").alias("often"))
+    spares = classes.select("id", F.explode("spares").alias("s")).select("id", "s.band", "s.spare")
+    rows = shared.join(often, "sig").where("often > 1").withColumn("band", F.col("sig").bitwiseAND(255).cast("int")).join(spares, ["id", "band"])
+    place = F.row_number().over(Window.partitionBy("id", "band").orderBy(F.desc("often"), F.desc("sig")))
+    return rows.withColumn("place", place).where("place > spare").select("sig", "id")
+
+
 def _id_filter(ids: DataFrame) -> np.ndarray:
     """One bit per doc_id hash, or-ed in Spark; FILTER_BITS / 8 bytes however many ids there are."""
 
@@ -408,8 +444,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, thresho
     t = threshold / 100
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with Scratch(spark) as scratch:
-        sets = scratch.table(texts.mapInArrow(trimmed(_set_rows(n)), "doc_id long, n_shingles long, id long, bits binary"))
-        classes = scratch.table(sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits")))
+        sets = scratch.table(texts.mapInArrow(trimmed(_set_rows(n, t)), SET_ROWS))
+        classes = scratch.table(sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("spares").alias("spares")))
         rows = texts.mapInArrow(trimmed(_signature_rows(n, t)), "sig long, id long")
         rows = rows.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(trimmed(_shared_rows), "sig long, id long")
         by_doc = scratch.table(rows.withColumnRenamed("id", "doc_id"))
@@ -417,6 +453,11 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, thresho
         scratch.sweep()
         shared = scratch.table(by_doc.join(sets.where("n_shingles > 0").select("doc_id", "id"), "doc_id").select("sig", "id").distinct())
         scratch.drop(by_doc)
+        every, shared = shared, scratch.table(_needed(shared, classes))
+        scratch.drop(every)
+        lone = shared.groupBy("sig").agg(F.count("*").alias("often")).where("often > 1").select("sig")
+        every, shared = shared, scratch.table(shared.join(lone, "sig"))
+        scratch.drop(every)
         counts = shared.groupBy("id").agg(F.count("*").alias("c")).join(classes.select("id", "n"), "id")
         known = scratch.table(shared.join(counts, "id"))
         scratch.drop(shared)

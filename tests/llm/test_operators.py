@@ -309,13 +309,24 @@ def test_jaccard(spark, docs, corpus, n, percent, monkeypatch):
         assert collections.Counter((r["doc_id"], r["component_id"]) for r in rows(jaccard_components(spark, odd))) == collections.Counter([(None, None), (4, 4), (None, None), (5, 5), (5, 5), (None, None)])
 
 
+def needed_signatures(features, t, seed):
+    from rasterloom.llm.common import mix64
+    from rasterloom.llm.near_jaccard import band_signatures
+
+    kept = set()
+    for _, spare, sigs in band_signatures(features, t):
+        order = np.argsort(mix64(sigs + np.uint64(seed)))
+        kept |= set(sigs[order[: len(sigs) - spare]].tolist())
+    return kept
+
+
 def test_partenum_misses_nothing():
     from rasterloom.llm.near_jaccard import bitmap, may_link, signatures
 
     rng = np.random.default_rng(4)
     for t in (0.8, 0.9):
         for _ in range(400):
-            size = int(rng.integers(10, 400))
+            size = int(rng.integers(3, 400))
             a = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
             out = int(rng.integers(0, int((1 - t) / (1 + t) * 2 * size) + 2))
             gone = int(rng.integers(0, out + 1))
@@ -324,6 +335,8 @@ def test_partenum_misses_nothing():
             if both >= t * (len(a) + len(b) - both) and len(np.union1d(a, b)) > both:
                 assert len(np.intersect1d(signatures(a, t), signatures(b, t)))
                 assert may_link(bitmap(a), bitmap(b), len(a), len(b), round(100 * t))
+                for seed in range(3):  # whatever the order of frequency is
+                    assert needed_signatures(a, t, seed) & needed_signatures(b, t, seed)
     apart = [np.unique(rng.integers(0, 2**63, 500, dtype=np.uint64)) for _ in range(2)]
     assert not may_link(bitmap(apart[0]), bitmap(apart[1]), len(apart[0]), len(apart[1]), 80)
 
