@@ -277,6 +277,19 @@ def test_license_scan(spark):
     assert rows(license_scan(spark, spark.createDataFrame([], "path string, text string"))) == []
 
 
+def test_license_scan_weighs_every_term_by_the_corpus(spark):
+    from rasterloom.llm.license_scan import TEMPLATES, license_scan, terms
+
+    files = [(f"p/{i}.txt", f"en und plain text.. a.b -x- {i}") for i in range(300)] + [("a/LICENSE", "Released under the MIT License en und"), ("a/x.py", "x"), ("b/y.py", "Released under the MIT License quixotic zebra marmalade gnu violin harp")]
+    got = {r["path"]: r for r in rows(license_scan(spark, spark.createDataFrame(files, "path string, text string")))}
+    n, df = len(files), collections.Counter(t for _, text in files for t in set(terms(text)))
+    weigh = lambda s: {t: c * (math.log((1 + n) / (1 + df[t])) + 1) for t, c in collections.Counter(terms(s)).items()}
+    x, y = weigh(files[300][1]), weigh(TEMPLATES["MIT"])
+    cosine = sum(x[t] * y.get(t, 0) for t in x) / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+    assert got["a/LICENSE"]["license"] == "MIT" and got["a/LICENSE"]["score"] == pytest.approx(cosine, abs=1e-8)
+    assert got["a/x.py"]["from_path"] == "a/LICENSE" and got["b/y.py"]["license"] is None
+
+
 # 6
 
 
