@@ -3,8 +3,9 @@
 States emit word classes, a class emits its words by their counts: P(word | state) =
 P(class | state) * (c + 0.1) / (N_class + 0.1 * (V_class + 1)). A word's class is a hash of its first
 and last letters, so the model's size is bounded while the word counts grow with the corpus.
-Baum-Welch runs over all learning documents: partitions sum expected counts, Spark adds them up by
-class, the driver re-estimates. A text's likelihood is the scaled forward recursion's, to its end.
+Baum-Welch runs over all learning documents, from class counts with a seeded perturbation, until a
+round gains little: partitions sum expected counts, Spark adds them up by class, the driver
+re-estimates. A text's likelihood is the scaled forward recursion's, to its end.
 
 Texts are encoded once, chunk by chunk, against the chunk's own vocabulary. The corpus counts of a
 chunk's words come back to the chunk by a join, so no task ever holds more words than its chunk.
@@ -22,11 +23,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, hash_sample, prepare
+from .common import Scratch, prepare
 
-STATES, CLASSES, ROUNDS = 8, 8192, 2
-#: The first estimate is fitted on at most so many learning documents of at most so many characters.
-SAMPLE, SAMPLE_CHARS, SAMPLE_ROUNDS = 256, 20_000, 12
+STATES, CLASSES = 8, 8192
+#: Baum-Welch ends when a round gains less than so many nats a token.
+GAIN = 1e-3
 #: Tokens of a chunk, and tokens whose recursions run side by side.
 CHUNK, LANES = 3_000_000, 200_000
 PRIOR = 20.0
@@ -104,6 +105,10 @@ class Hmm:
         start = (start + 0.1) / (start + 0.1).sum()
         return cls(start, move, emit)
 
+    def prior(self, overall) -> float:
+        """Log density of the prior of :meth:`estimate`, up to a constant. With the log likelihood, it is what no round lowers."""
+        return PRIOR * float(overall @ np.log(self.emit).sum(1)) + 0.1 * float(np.log(self.move).sum() + np.log(self.start).sum())
+
 
 def lanes(sequences: list[np.ndarray]):
     """Index groups of sequences of like lengths, about LANES tokens each."""
@@ -170,43 +175,32 @@ def _classes(tokens: np.ndarray, lengths: np.ndarray, keys: np.ndarray) -> list[
 
 
 def _expect(model: Hmm):
-    """Expected counts of a partition: rows of sums by class; -1 the starts, -2 - i the moves from state i."""
+    """Expected counts of a partition: rows of sums by class; -1 the starts, -2 - i the moves from state i, and below these the log likelihood in s0."""
 
     def run(batches):
-        total = None
+        total, k = None, len(model.start)
         for b in batches:
             for train, lengths, tokens, keys in zip(*(b.column(i).to_pylist() for i in range(4))):
                 learn = np.frombuffer(train, np.uint8).astype(bool)
                 all_ = _classes(_unpack(tokens), np.frombuffer(lengths, np.int32), np.frombuffer(keys, np.uint64))
                 some = [s for s, use in zip(all_, learn) if use]
                 for group in lanes(some):
-                    total = _add(total, recursion(model, [some[i] for i in group], True)[1])
+                    likelihood, counts = recursion(model, [some[i] for i in group], True)
+                    total = _add(total, (*counts, likelihood.sum()))
         if total is not None:
-            start, move, emit = total
-            ids = np.concatenate([np.arange(CLASSES + 1), [-1], -2 - np.arange(len(start))])
-            sums = np.concatenate([emit, start[None], move])
-            yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), *(pa.array(np.ascontiguousarray(sums[:, i])) for i in range(len(start)))], ["id", *(f"s{i}" for i in range(len(start)))])
+            start, move, emit, likelihood = total
+            ids = np.concatenate([np.arange(CLASSES + 1), [-1], -2 - np.arange(k + 1)])
+            sums = np.concatenate([emit, start[None], move, likelihood * np.eye(1, k)])
+            yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), *(pa.array(np.ascontiguousarray(sums[:, i])) for i in range(k))], ["id", *(f"s{i}" for i in range(k))])
 
     return run
 
 
-def first_model(texts: list[bytes], overall: np.ndarray, k: int, seed: int) -> Hmm:
-    """Baum-Welch over a few documents, from states that each begin as one of them."""
-    sequences = [np.array([word_key(w) & (CLASSES - 1) for w in t.lower().split()] + [CLASSES]) for t in texts]
-    rng = np.random.default_rng(seed)
-    emit = np.zeros((CLASSES + 1, k))
-    picks = rng.permutation(len(sequences))
-    for i in range(k):
-        for p in picks[i::k][:3]:
-            emit[:, i] += np.bincount(sequences[p], minlength=CLASSES + 1)
+def first_model(counts: np.ndarray, overall: np.ndarray, k: int, seed: int) -> Hmm:
+    """States that each emit the class counts with a perturbation of their own."""
+    emit = counts[:, None] * np.random.default_rng(seed).exponential(size=(CLASSES + 1, k))
     move = np.full((k, k), 0.2 / k) + 0.8 * np.eye(k)
-    model = Hmm.estimate(np.ones(k), 1000 * move, emit * rng.uniform(0.9, 1.1, emit.shape), overall)
-    for _ in range(SAMPLE_ROUNDS if sequences else 0):
-        total = None
-        for group in lanes(sequences):
-            total = _add(total, recursion(model, [sequences[i] for i in group], True)[1])
-        model = Hmm.estimate(*total, overall)
-    return model
+    return Hmm.estimate(np.ones(k), 1000 * move, emit, overall)
 
 
 def _score(model: Hmm, n: int, v: int, ends: int, in_class: np.ndarray):
@@ -236,7 +230,7 @@ def _score(model: Hmm, n: int, v: int, ends: int, in_class: np.ndarray):
     return run
 
 
-def lm_score(spark: SparkSession, docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, seed: int = 42) -> DataFrame:
+def lm_score(spark: SparkSession, docs: DataFrame, states: int = STATES, gain: float = GAIN, seed: int = 42) -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one per row of ``docs``.
 
     Learns from rows whose crc32(doc_id as text) mod 10 is not 0. Tokens are the words
@@ -262,15 +256,18 @@ def lm_score(spark: SparkSession, docs: DataFrame, states: int = STATES, rounds:
         of_class[:, CLASSES] = ends, ends > 0
         n, v = (int(x) for x in of_class.sum(1))
         overall = (of_class[0] + 1) / (n + CLASSES + 1)
-        some = rows.where(F.col("learn") & (F.length("text") <= SAMPLE_CHARS) & (F.length("text") > 0))
-        some = hash_sample(some, ends, SAMPLE, seed, "doc_id")
-        model = first_model([r["text"].encode() for r in some.select("text").collect()], overall, states, seed)
+        model = first_model(of_class[0], overall, states, seed)
         sums = [F.sum(f"s{i}").alias(f"s{i}") for i in range(states)]
-        for _ in range(rounds if n else 0):
+        last = -np.inf
+        while n:
             form = "id int, " + ", ".join(f"s{i} double" for i in range(states))
-            got = chunks.select("train", "lengths", "tokens", "keys").mapInArrow(_expect(model), form).groupBy("id").agg(*sums).orderBy("id").toPandas()  # CLASSES + 2 + states rows
+            got = chunks.select("train", "lengths", "tokens", "keys").mapInArrow(_expect(model), form).groupBy("id").agg(*sums).orderBy("id").toPandas()  # CLASSES + 3 + states rows
             values, ids = got[[f"s{i}" for i in range(states)]].to_numpy(float), got["id"].to_numpy()
-            model = Hmm.estimate(values[ids == -1][0], values[ids < -1][::-1], values[ids >= 0], overall)
+            reached = values[ids == -2 - states][0, 0] + model.prior(overall)
+            model = Hmm.estimate(values[ids == -1][0], values[(ids < -1) & (ids > -2 - states)][::-1], values[ids >= 0], overall)
+            if reached - last < gain * n:
+                break
+            last = reached
         in_class = np.log10(of_class[0] + 0.1 * (of_class[1] + 1))
         form = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
         # a chunk of empty texts has no words: the cogroup gives it an empty right side

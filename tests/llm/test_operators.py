@@ -218,6 +218,14 @@ def test_hidden_markov(spark, docs, corpus):
     assert rows(lm_score(spark, docs.limit(0))) == []
 
 
+def test_hidden_markov_learns_from_long_documents(spark):
+    from rasterloom.llm.hidden_markov import lm_score
+
+    long = spark.createDataFrame([(i, "aa bb " * 4000) for i in range(12)], "doc_id long, text string")  # all over 20,000 characters
+    got = rows(lm_score(spark, long, states=2))
+    assert len(got) == 12 and all(r["score"] > 0.2 * r["base_score"] for r in got)  # which word comes next is certain
+
+
 def test_recursion_is_the_sum_over_paths():
     import itertools
 
