@@ -373,7 +373,7 @@ def _descriptors(method):
         import pandas as pd
 
         def one(pdf):
-            found = kernels.keypoints(image_array(pdf), method, 5)
+            found = kernels.keypoints(image_array(pdf), method)
             return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "x": [p["x"] for p in found], "y": [p["y"] for p in found], "descriptor": [p["descriptor"] for p in found]}).astype({"x": "int32", "y": "int32"})
 
         return gradient_images(spark, d).groupBy("image_id").applyInPandas(one, "image_id long, x int, y int, descriptor array<int>")

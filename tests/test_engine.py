@@ -167,6 +167,17 @@ def test_cache_limits_and_matching(spark):
     assert matches.select(F.max("rank")).first()[0] == 2
 
 
+@pytest.mark.parametrize("method", ["sift", "orb"])
+def test_descriptors_of_all_maxima(spark, method):
+    from pyspark.sql import functions as F
+
+    from rasterloom.queries import QUERIES
+
+    got = QUERIES[f"descriptors_{method}"](spark, SMALL).groupBy("image_id").count()
+    most = QUERIES["local_maxima"](spark, SMALL).groupBy("image_id").agg(F.least(F.count("*"), F.lit(120)).alias("count"))
+    assert got.where("count > 5").count() and normal(got.toPandas()).equals(normal(most.toPandas()))
+
+
 def test_without_the_training_subpackage():
     import __spark_entry__ as entry
 
