@@ -104,12 +104,13 @@ def vector_dedup(spark: SparkSession, vectors: DataFrame, cosine: float = 0.98,
         nodes = scratch.table(nodes)
         total = nodes.count()
         if total:
-            dims = [r["d"] for r in nodes.select("d").distinct().limit(100).collect()]
-            edges = None
-            for d in dims:
-                found = _block_links(spark, scratch, nodes.where(F.col("d") == d).drop("d"), d, total, cosine, seed)
-                edges = found if edges is None else edges.unionByName(found)
-            edges = scratch.table(edges)
+            lengths = nodes.groupBy("d").agg(F.count("*").alias("of_d"))
+            large = {r["d"]: r["of_d"] for r in lengths.where(F.col("of_d") > CELL).collect()}  # at most total / CELL rows
+            placed = [_place(scratch, nodes.where(F.col("d") == d), d, count, cosine, seed) for d, count in sorted(large.items())]
+            if sum(large.values()) < total:  # all lengths of one cell each together
+                rest = nodes.join(lengths.where(F.col("of_d") <= CELL), "d")
+                placed.append(scratch.table(rest.select("id", "e", F.col("label").cast("string").alias("label"), "n", "d").mapInArrow(_one_cell, PLACED)))
+            edges = scratch.table(_block_links(placed, cosine))
         else:
             edges = spark.createDataFrame([], "id long, links long, root long")
         labels = components(spark, edges.select(F.col("id").alias("a"), F.col("root").alias("b")), scratch)
@@ -123,7 +124,20 @@ def vector_dedup(spark: SparkSession, vectors: DataFrame, cosine: float = 0.98,
         return scratch.keep(out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))))
 
 
-def _block_links(spark, scratch, nodes: DataFrame, dim: int, total: int, cosine: float, seed: int) -> DataFrame:
+PLACED = "id long, label string, n long, v binary, cell int, home boolean, d int"
+
+
+def _one_cell(batches):
+    """Vectors of any length, each at home in cell 0."""
+    for b in batches:
+        raw = [np.array(x, np.float64).tobytes() for x in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), b.column(2), b.column(3), pa.array(raw, pa.binary()), pa.array(np.zeros(len(raw), np.int32)), pa.array(np.ones(len(raw), bool)), b.column(4)],
+            ["id", "label", "n", "v", "cell", "home", "d"])
+
+
+def _place(scratch, nodes: DataFrame, dim: int, total: int, cosine: float, seed: int) -> DataFrame:
+    """The ``total`` nodes of length ``dim`` in their cells."""
     k = int(min(MOST_CELLS, max(1, -(-total // CELL))))
     sample = np.array([r["e"] for r in hash_sample(nodes, total, SAMPLE, seed, "id").select("e").collect()])
     sample = sample / np.abs(sample).max(1, keepdims=True)
@@ -147,17 +161,23 @@ def _block_links(spark, scratch, nodes: DataFrame, dim: int, total: int, cosine:
             row, cell = np.nonzero(cells)
             at = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(at), b.column(2).take(at), b.column(3).take(at), pa.array(raw, pa.binary()).take(at), pa.array(cell.astype(np.int32)), pa.array(cell == home[row])],
-                ["id", "label", "n", "v", "cell", "home"])
+                [b.column(0).take(at), b.column(2).take(at), b.column(3).take(at), pa.array(raw, pa.binary()).take(at), pa.array(cell.astype(np.int32)), pa.array(cell == home[row]), b.column(4).take(at)],
+                ["id", "label", "n", "v", "cell", "home", "d"])
+
+    return scratch.table(nodes.select("id", "e", F.col("label").cast("string").alias("label"), "n", "d").mapInArrow(assign, PLACED))
+
 
-    placed = scratch.table(nodes.select("id", "e", F.col("label").cast("string").alias("label"), "n").mapInArrow(assign, "id long, label string, n long, v binary, cell int, home boolean"))
-    sizes = placed.groupBy("label", "cell").agg(F.count("*").alias("all"), F.count_if("home").alias("own"))
+def _block_links(parts: list[DataFrame], cosine: float) -> DataFrame:
+    placed = parts[0]
+    for more in parts[1:]:
+        placed = placed.unionByName(more)
+    sizes = placed.groupBy("d", "label", "cell").agg(F.count("*").alias("all"), F.count_if("home").alias("own"))
     blocks = lambda col: F.ceil(F.col(col) / BLOCK).cast("int")
-    placed = placed.join(sizes, ["label", "cell"]).withColumns({"hb": blocks("own"), "ob": blocks("all"), "h": F.xxhash64(F.lit(9), "id")}).where("hb > 0")
-    homes = placed.where("home").select("label", "cell", F.pmod("h", "hb").cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.col("ob") - 1)).alias("b"), "id", "v")
-    others = placed.select("label", "cell", F.explode(F.sequence(F.lit(0), F.col("hb") - 1)).alias("a"), F.pmod("h", "ob").cast("int").alias("b"), "id", "v", "n")
+    placed = placed.join(sizes, ["d", "label", "cell"]).withColumns({"hb": blocks("own"), "ob": blocks("all"), "h": F.xxhash64(F.lit(9), "id")}).where("hb > 0")
+    homes = placed.where("home").select("d", "label", "cell", F.pmod("h", "hb").cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.col("ob") - 1)).alias("b"), "id", "v")
+    others = placed.select("d", "label", "cell", F.explode(F.sequence(F.lit(0), F.col("hb") - 1)).alias("a"), F.pmod("h", "ob").cast("int").alias("b"), "id", "v", "n")
     others = others.select(*(F.col(c).alias(c) for c in others.columns))  # names of their own: both sides come from one table
-    keys = ["label", "cell", "a", "b"]
+    keys = ["d", "label", "cell", "a", "b"]
     return homes.groupBy(*keys).cogroup(others.groupBy(*keys)).applyInPandas(_compare(cosine), "id long, links long, root long")
 
 

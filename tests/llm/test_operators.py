@@ -196,6 +196,17 @@ def test_vector_dedup(spark, vectors, monkeypatch):
     assert rows(m.vector_dedup(spark, vectors.limit(0))) == []
 
 
+def test_vector_dedup_compares_every_length(spark, monkeypatch):
+    from rasterloom.llm import vector_dedup as m
+
+    monkeypatch.setattr(m, "CELL", 4)
+    monkeypatch.setattr(m, "SAMPLE", 3)
+    data = [(2 * d + i, [1.0 + i * 1e-3] * d, 0) for d in range(1, 121) for i in (0, 1)]  # a pair of each of 120 lengths
+    data += [(1000 + i, [float(i == j) for j in range(200)], 0) for i in range(60)]
+    got = rows(m.vector_dedup(spark, spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")))
+    assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in got} == {(i, int(i < 1000), i - i % 2 if i < 1000 else i) for i, _, _ in data}
+
+
 # 4
 
 
