@@ -88,7 +88,7 @@ def build_cascade(spark: SparkSession, keys: DataFrame, max_levels: int = 64, ma
 
     Each level's bits are set by partial words per partition, or-ed per word in Spark; the driver
     gets the finished filter, whose size follows from counted keys and is checked first against
-    ``max_bytes``; a larger cascade is refused here and the caller splits the keys by hash.
+    ``max_bytes``; a larger cascade is refused with a MemoryError, and no caller splits the keys.
     """
     with Scratch(spark) as scratch:
         keys = scratch.table(keys)
