@@ -8,6 +8,7 @@ equal gives the leftmost such pair. A merge changes at most three leaves, each i
 from __future__ import annotations
 
 import json
+import os
 import re
 import unicodedata
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare, trimmed
+from .common import prepare, slices, trimmed
 
 NO_RANK = 1 << 60
 #: The same for arrays.
@@ -43,10 +44,12 @@ LOWER = {0x3A3: 0x3C3, 0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0x
 LOWER |= {c: c + 32 for c in range(0x10D50, 0x10D66)} | {c: c + 27 for c in range(0x16EA0, 0x16EB9)}
 #: Words of only these code points are told apart alike by every Unicode version since 6; a text with any other word takes the careful pattern.
 PLAIN = re.compile("[\x00-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u0391-\u03a9\u03b1-\u03c9\u0410-\u044f\u05d0-\u05ea\u0621-\u063a\u0641-\u064a\u2010-\u2027\u2030-\u205e\u20ac\u3001\u3002\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3\uff01-\uff0f]*").fullmatch
-#: Words that a worker remembers before it starts anew; bounds its memory.
-MEMO = 400_000
-#: Characters whose new words are merged together.
-CHARS = 2_000_000
+#: Bytes of remembered words, about, at which a task forgets them and starts anew; and what one costs beyond its letters and ids.
+MEMO_BYTES, ENTRY = 24 << 20, 200
+#: Bytes of a vocabulary file that is broadcast, at most.
+MOST_VOCABULARY = 64 << 20
+#: Characters whose new words are merged together, and symbols that are merged side by side.
+CHARS, SIDE_BY_SIDE = 500_000, 200_000
 
 
 def byte_letters() -> list[str]:
@@ -231,6 +234,7 @@ class WordBpe:
         self.last = [self.vocab[x + self.end] for x in byte_letters()]
         self.last_ = np.array(self.last, np.int64)
         self.memo: dict[str, bytes] = {}
+        self.held = 0  # bytes of the memo, about
 
     def word(self, word: str) -> list[int]:
         raw = word.encode()
@@ -260,23 +264,27 @@ class WordBpe:
         ids = self.word(word)
         out = b"".join([i.to_bytes(4, "little") for i in ids])
         if not careful:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[word] = out
+            self._hold([word], [out])
         return out
 
-    def learn(self, words: set[str]) -> None:
-        """Put plain words into the memo, many at a time."""
-        if len(self.memo) + len(words) > MEMO:
+    def _hold(self, words: list[str], ids: list[bytes]) -> None:
+        if self.held > MEMO_BYTES:
             self.memo.clear()
+            self.held = 0
+        self.held += sum(map(len, words)) + sum(map(len, ids)) + ENTRY * len(words)
+        self.memo.update(zip(words, ids))
+
+    def learn(self, words: set[str]) -> None:
+        """Put plain words into the memo, many at a time. What it forgets meanwhile is learnt again when it is met."""
         by_size: dict[int, list[str]] = {}
         for w in words:
             n = len(w.encode())
             if n <= LONG and PLAIN(w):
                 by_size.setdefault(1 << max(0, n - 2).bit_length(), []).append(w)
         for size, all_of_size in by_size.items():
-            for start in range(0, len(all_of_size), 20_000):
-                some = all_of_size[start : start + 20_000]
+            rows = SIDE_BY_SIDE // size
+            for start in range(0, len(all_of_size), rows):
+                some = all_of_size[start : start + rows]
                 raw = [w.encode() for w in some]
                 lengths = np.fromiter(map(len, raw), np.int64, len(raw))
                 ids = np.full((len(raw), size + 1), -1, np.int64)
@@ -289,7 +297,7 @@ class WordBpe:
                 left = merged >= 0
                 packed = merged[left].astype("<u4").tobytes()
                 stops = (4 * np.cumsum(left.sum(1))).tolist()
-                self.memo.update(zip(some, [packed[a:b] for a, b in zip([0, *stops], stops)]))
+                self._hold(some, [packed[a:b] for a, b in zip([0, *stops], stops)])
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """:meth:`encode` of each text, null as empty; the words that are new to some millions of
@@ -346,36 +354,39 @@ class WordBpe:
         return " ".join([names[i] for i in memoryview(ids).cast("I")])
 
 
-_LOADED: dict[str, WordBpe] = {}
+def _encode_rows(sent, at: int, schema: T.StructType):
+    """The vocabulary is loaded by each task and goes with it: workers idle on beside later stages."""
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        want, model = to_arrow_schema(schema), None
+        for batch in slices(batches):
+            model = model or WordBpe(sent.value)
+            ids = model.encode_all(batch.column(at).to_pylist())
+            decoded = [model.decode(x) for x in ids]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary()), pa.array(decoded, want.field(len(want) - 1).type)], schema=want)
+            del ids, decoded
+
+    return run
 
 
 def bpe(spark: SparkSession, docs: DataFrame, vocab_path: str, text: str = "text") -> DataFrame:
     """``docs`` with ``ids`` (binary, little-endian unsigned 32-bit) and ``decoded``.
 
-    One pass without a shuffle. The driver reads the vocabulary (a file of fixed size, a few MB)
+    One pass without a shuffle. The driver reads the vocabulary (at most MOST_VOCABULARY bytes, else it is refused)
     and broadcasts it. Null text counts as empty and gives no ids and an empty decoding. Columns
     named ids or decoded in the input are replaced; others pass through. Texts of any length are
     encoded whole; a word of n symbols takes O(n log n).
     """
     prepare(spark)
+    if os.path.getsize(vocab_path) > MOST_VOCABULARY:
+        raise ValueError(f"a vocabulary file of more than {MOST_VOCABULARY} bytes")
     with open(vocab_path, encoding="utf-8") as f:
         sent = spark.sparkContext.broadcast(f.read())
     docs = docs.drop("ids", "decoded")
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
-    at = docs.columns.index(text)
-
-    def run(batches):
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        want, model = to_arrow_schema(schema), _LOADED.get(vocab_path)
-        if model is None:
-            model = _LOADED[vocab_path] = WordBpe(sent.value)
-        for batch in batches:
-            ids = model.encode_all(batch.column(at).to_pylist())
-            decoded = [model.decode(x) for x in ids]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary()), pa.array(decoded, want.field(len(want) - 1).type)], schema=want)
-
-    return docs.mapInArrow(trimmed(run), schema)
+    return docs.mapInArrow(trimmed(_encode_rows(sent, docs.columns.index(text), schema)), schema)
 
 
 def digest(out: DataFrame) -> DataFrame:

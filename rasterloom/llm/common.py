@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch that goes to a Python worker; bounds a worker's memory for long texts.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,14 +24,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def prepare(spark: SparkSession) -> str:
     """Bound the Arrow batches and return the shared folder for cut lineage.
 
-    The folder comes from ``spark.checkpoint.dir``. Only where the session names none, as in local
-    tests, one is made; a cluster must name a folder that all its machines share.
+    The folder comes from ``spark.checkpoint.dir``. Only where the session names none and runs on this
+    machine alone, as in local tests, one is made; on a cluster a missing name is an error, as all its
+    machines must share the folder.
     """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     sc = spark.sparkContext
     found = sc.getCheckpointDir()
     if found is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="rasterloom-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.match(r"local($|\[)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="rasterloom-"))
         found = sc.getCheckpointDir()
     return found
 
@@ -83,6 +88,14 @@ class Scratch:
         return df.checkpoint(eager=True)
 
 
+def slices(batches, most: int = 1 << 20):
+    """The batches' rows in batches of about ``most`` bytes, one row at least: what Python makes of a batch is many times its size."""
+    for b in batches:
+        rows = max(1, b.num_rows * most // max(1, b.nbytes))
+        for start in range(0, b.num_rows, rows):
+            yield b.slice(start, rows)
+
+
 def trimmed(run):
     """``run`` over batches, then what the task freed goes back to the system: workers idle on beside later stages."""
 
