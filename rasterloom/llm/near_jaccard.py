@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, components, mix64, prepare, trimmed
 
-MEMO = 300_000
+#: Set ids that a task remembers before it starts anew, and bytes of text that are hashed at once.
+MEMO, PIECE = 300_000, 1 << 16
 #: Buckets of at most so many members are paired in the last comparison; sets of a block there.
 SMALL_BUCKET = 32
 BLOCK = 2048
@@ -42,23 +43,45 @@ EXTRA = 0.5
 
 
 class Shingler:
-    """64-bit hashes of a text's distinct word n-grams, sorted."""
+    """64-bit hashes of a text's distinct word n-grams, sorted.
+
+    A word's hash is a polynomial over its bytes' random numbers, in which capital letters have those
+    of small ones; the differences of prefix sums give those of all words of a piece of text at once.
+    """
 
     def __init__(self, n: int):
-        self.n, self.memo = n, {}
-        self.odd = [np.uint64(x) for x in np.random.default_rng(7).integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)]
+        self.n, rng = n, np.random.default_rng(7)
+        self.odd = [np.uint64(x) for x in rng.integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)]
+        self.byte = rng.integers(0, 2**64 - 1, 256, dtype=np.uint64)
+        self.byte[ord("A") : ord("Z") + 1] = self.byte[ord("a") : ord("z") + 1]
+        self.space = np.zeros(256, bool)
+        self.space[[*b" \t\n\v\f\r"]] = True
+        self.base = int(rng.integers(0, 2**62)) * 4 + 1
+        powers = lambda x: np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(PIECE, x, np.uint64)]))
+        self.power, self.back = powers(self.base), powers(pow(self.base, -1, 2**64))
 
     def words(self, text: bytes | None) -> np.ndarray:
-        tokens = text.lower().split() if text else []
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        out = list(map(memo.get, tokens))
-        if None in out:
-            for i, h in enumerate(out):
-                if h is None:
-                    out[i] = memo[tokens[i]] = xxhash.xxh3_64_intdigest(tokens[i])
-        return np.array(out, np.uint64)
+        """Hashes of the words in their order."""
+        out, sizes, held, length = [], [], np.zeros(1, np.uint64), 0  # held, length: the word that the last piece ended in
+        for at in range(0, len(text or b""), PIECE):
+            b = np.frombuffer(text, np.uint8, min(PIECE, len(text) - at), at)
+            gap = np.concatenate([[True], self.space[b], [True]])
+            edge = np.flatnonzero(gap[1:] != gap[:-1])
+            first, last = edge[::2], edge[1::2]
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.byte[b] * self.power[: len(b)], dtype=np.uint64)])
+            h, size = (sums[last] - sums[first]) * self.back[first], last - first
+            if length and len(h) and first[0] == 0:
+                h[:1] = held + h[:1] * np.uint64(pow(self.base, length, 2**64))
+                size[0] += length
+            elif length:
+                h, size = np.append(held, h), np.append(length, size)
+            length = 0
+            if at + PIECE < len(text) and len(h) and not gap[-2]:
+                held, length, h, size = h[-1:], int(size[-1]), h[:-1], size[:-1]
+            out.append(h), sizes.append(size)
+        if not out:
+            return np.zeros(0, np.uint64)
+        return mix64(np.concatenate(out) + np.concatenate(sizes).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def __call__(self, text: bytes | None) -> np.ndarray:
         h = self.words(text)
