@@ -1,10 +1,10 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products within cells.
 
 Every vector has a home cell, that of its nearest centroid. Unit vectors with a cosine of at least
-``c`` are at most ``r = sqrt(2 - 2c)`` apart, so a vector can link into another cell only if it lies
-within ``r`` of the plane between the two centroids; there it is a guest. Comparing a cell's
-residents with its residents and guests therefore finds every link. Both are dealt into blocks of
-bounded size, so a cell of any size is many small matrix products.
+``c`` are at most ``r = sqrt(2 - 2c)`` apart. Where two such have different homes, the plane between
+the centroids lies between them, so one of them is within ``r / 2`` of it: that one is a guest in the
+other's cell. Comparing a cell's residents with its residents and guests therefore finds every link.
+Both are dealt into blocks of bounded size, so a cell of any size is many small matrix products.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from .common import Scratch, components, hash_sample, prepare
 
 #: Labelled vectors that the centroids are fitted on, at most.
 SAMPLE = 20_000
-#: Vectors per cell that the number of cells aims at, the most cells, and vectors per block.
-CELL, MOST_CELLS, BLOCK = 4_000, 1_024, 1_024
+#: Vectors per cell that the number of cells aims at, the most cells, vectors per block, and vectors that are placed at once.
+CELL, MOST_CELLS, BLOCK, PLACE = 2_000, 4_096, 1_024, 1_024
 
 
 def fit_centroids(x: np.ndarray, k: int, rounds: int = 8, seed: int = 42) -> np.ndarray:
@@ -60,6 +60,14 @@ def _compare(cosine: float):
         h, o = homes["id"].to_numpy(), others["id"].to_numpy()
         near &= h[:, None] != o[None, :]
         links = near @ others["n"].to_numpy(np.int64)
+        # a guest here counts the links that its home cell doesn't see: those to vectors that are no guests there
+        back, cell = np.zeros(len(o), np.int64), key[2]
+        weight, at = homes["n"].to_numpy(np.int64), others["at"].to_numpy()
+        linked = near.any(0)
+        for c in np.unique(at[linked & (at != cell)]):
+            cols = np.flatnonzero(linked & (at == c))
+            unseen = np.array([c not in g for g in homes["guest_of"]])
+            back[cols] = (near[:, cols] & unseen[:, None]).T @ weight
         # label the two-sided graph of this block by its smallest reachable id
         low_h, low_o = h.copy(), o.copy()
         rows, cols = np.nonzero(near)
@@ -70,7 +78,7 @@ def _compare(cosine: float):
             if (was[0] == low_h).all() and (was[1] == low_o).all():
                 break
         keep, also = near.any(1), near.any(0)
-        return pd.DataFrame({"id": np.concatenate([h[keep], o[also]]), "links": np.concatenate([links[keep], np.zeros(int(also.sum()), np.int64)]), "root": np.concatenate([low_h[keep], low_o[also]])})
+        return pd.DataFrame({"id": np.concatenate([h[keep], o[also]]), "links": np.concatenate([links[keep], back[also]]), "root": np.concatenate([low_h[keep], low_o[also]])})
 
     return run
 
@@ -88,7 +96,8 @@ def vector_dedup(spark: SparkSession, vectors: DataFrame, cosine: float = 0.98,
     An empty table gives an empty result; other columns are left out.
 
     The centroids are fitted on at most SAMPLE vectors; their number grows with the table up to
-    MOST_CELLS. Fewer cells or a poor fit only make blocks more numerous, never lose a link.
+    MOST_CELLS, beyond which cells grow and blocks with their square. Fewer cells or a poor fit only
+    make blocks more numerous, never lose a link.
     """
     prepare(spark)
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("e"), "label")
@@ -124,16 +133,16 @@ def vector_dedup(spark: SparkSession, vectors: DataFrame, cosine: float = 0.98,
         return scratch.keep(out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))))
 
 
-PLACED = "id long, label string, n long, v binary, cell int, home boolean, d int"
+PLACED = "id long, label string, n long, v binary, cell int, at int, guest_of array<int>, d int"
+NAMES = ["id", "label", "n", "v", "cell", "at", "guest_of", "d"]
 
 
 def _one_cell(batches):
     """Vectors of any length, each at home in cell 0."""
     for b in batches:
         raw = [np.array(x, np.float64).tobytes() for x in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(2), b.column(3), pa.array(raw, pa.binary()), pa.array(np.zeros(len(raw), np.int32)), pa.array(np.ones(len(raw), bool)), b.column(4)],
-            ["id", "label", "n", "v", "cell", "home", "d"])
+        zero = pa.array(np.zeros(len(raw), np.int32))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(raw, pa.binary()), zero, zero, pa.array([[]] * len(raw), pa.list_(pa.int32())), b.column(4)], NAMES)
 
 
 def _place(scratch, nodes: DataFrame, dim: int, total: int, cosine: float, seed: int) -> DataFrame:
@@ -144,25 +153,28 @@ def _place(scratch, nodes: DataFrame, dim: int, total: int, cosine: float, seed:
     sample /= np.linalg.norm(sample, axis=1, keepdims=True)
     k = min(k, len(sample))
     c = fit_centroids(sample, k, seed=seed)
-    reach = float(np.sqrt(2 - 2 * cosine)) + 1e-9
+    reach = float(np.sqrt(2 - 2 * cosine)) / 2 + 1e-9
     apart = np.linalg.norm(c[:, None] - c[None], axis=2)
 
     def assign(batches):
-        for b in batches:
-            e = np.array(b.column(1).to_pylist(), np.float64).reshape(-1, dim)
-            raw = [x.tobytes() for x in e]
-            x = e / np.abs(e).max(1, keepdims=True)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            dots = x @ c.T
-            home = dots.argmax(1)
-            gap = dots[np.arange(len(x)), home][:, None] - dots
-            cells = gap <= reach * apart[home]
-            cells[np.arange(len(x)), home] = True
-            row, cell = np.nonzero(cells)
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(at), b.column(2).take(at), b.column(3).take(at), pa.array(raw, pa.binary()).take(at), pa.array(cell.astype(np.int32)), pa.array(cell == home[row]), b.column(4).take(at)],
-                ["id", "label", "n", "v", "cell", "home", "d"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, PLACE):
+                b = whole.slice(start, PLACE)
+                e = np.array(b.column(1).to_pylist(), np.float64).reshape(-1, dim)
+                raw = [x.tobytes() for x in e]
+                x = e / np.abs(e).max(1, keepdims=True)
+                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                dots, all_ = x @ c.T, np.arange(len(x))
+                home = dots.argmax(1)
+                cells = dots[all_, home][:, None] - dots <= reach * apart[home]
+                cells[all_, home] = False
+                guest_of = [np.flatnonzero(g).astype(np.int32) for g in cells]
+                cells[all_, home] = True
+                row, cell = np.nonzero(cells)
+                at, own = pa.array(row), cell == home[row]
+                lists = pa.array([guest_of[i] if mine else [] for i, mine in zip(row, own)], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(at), b.column(2).take(at), b.column(3).take(at), pa.array(raw, pa.binary()).take(at), pa.array(cell.astype(np.int32)), pa.array(home[row].astype(np.int32)), lists, b.column(4).take(at)], NAMES)
 
     return scratch.table(nodes.select("id", "e", F.col("label").cast("string").alias("label"), "n", "d").mapInArrow(assign, PLACED))
 
@@ -171,11 +183,11 @@ def _block_links(parts: list[DataFrame], cosine: float) -> DataFrame:
     placed = parts[0]
     for more in parts[1:]:
         placed = placed.unionByName(more)
-    sizes = placed.groupBy("d", "label", "cell").agg(F.count("*").alias("all"), F.count_if("home").alias("own"))
+    sizes = placed.groupBy("d", "label", "cell").agg(F.count("*").alias("all"), F.count_if(F.col("cell") == F.col("at")).alias("own"))
     blocks = lambda col: F.ceil(F.col(col) / BLOCK).cast("int")
     placed = placed.join(sizes, ["d", "label", "cell"]).withColumns({"hb": blocks("own"), "ob": blocks("all"), "h": F.xxhash64(F.lit(9), "id")}).where("hb > 0")
-    homes = placed.where("home").select("d", "label", "cell", F.pmod("h", "hb").cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.col("ob") - 1)).alias("b"), "id", "v")
-    others = placed.select("d", "label", "cell", F.explode(F.sequence(F.lit(0), F.col("hb") - 1)).alias("a"), F.pmod("h", "ob").cast("int").alias("b"), "id", "v", "n")
+    homes = placed.where("cell = at").select("d", "label", "cell", F.pmod("h", "hb").cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.col("ob") - 1)).alias("b"), "id", "v", "n", "guest_of")
+    others = placed.select("d", "label", "cell", F.explode(F.sequence(F.lit(0), F.col("hb") - 1)).alias("a"), F.pmod("h", "ob").cast("int").alias("b"), "id", "v", "n", "at")
     others = others.select(*(F.col(c).alias(c) for c in others.columns))  # names of their own: both sides come from one table
     keys = ["d", "label", "cell", "a", "b"]
     return homes.groupBy(*keys).cogroup(others.groupBy(*keys)).applyInPandas(_compare(cosine), "id long, links long, root long")
