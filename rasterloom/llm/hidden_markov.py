@@ -3,9 +3,10 @@
 States emit word classes, a class emits its words by their counts: P(word | state) =
 P(class | state) * (c + 0.1) / (N_class + 0.1 * (V_class + 1)). A word's class is a hash of its first
 and last letters, so the model's size is bounded while the word counts grow with the corpus.
-Baum-Welch runs over all learning documents, from class counts with a seeded perturbation, until a
-round gains little: partitions sum expected counts, Spark adds them up by class, the driver
-re-estimates. A text's likelihood is the scaled forward recursion's, to its end.
+Baum-Welch starts from class counts with a seeded perturbation, runs over one in FIRST of the learning
+documents until a round gains little, and from there over all of them until a round gains little:
+partitions sum expected counts, Spark adds them up by class, the driver re-estimates. A text's
+likelihood is the scaled forward recursion's, to its end.
 
 Texts are encoded once, chunk by chunk, against the chunk's own vocabulary. The corpus counts of a
 chunk's words come back to the chunk by a join, so no task ever holds more words than its chunk.
@@ -23,11 +24,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, prepare
+from .common import Scratch, mix64, prepare, trimmed
 
 STATES, CLASSES = 8, 8192
 #: Baum-Welch ends when a round gains less than so many nats a token.
 GAIN = 1e-3
+#: Of so many learning documents one is in the first rounds.
+FIRST = 16
 #: Tokens of a chunk, and tokens whose recursions run side by side.
 CHUNK, LANES = 3_000_000, 200_000
 PRIOR = 20.0
@@ -129,12 +132,12 @@ def recursion(model: Hmm, sequences: list[np.ndarray], learn: bool):
     k = len(model.start)
     lengths = np.array([len(s) for s in sequences])
     steps, width = lengths[0], len(sequences)
-    tokens = np.zeros((steps, width), np.int64)
+    tokens, kind = np.zeros((steps, width), np.int32), model.emit.dtype
     for d, s in enumerate(sequences):
         tokens[: len(s), d] = s
     active = (lengths[None, :] > np.arange(steps)[:, None]).sum(1).tolist()
     b = model.emit[tokens]
-    alpha, scale = np.zeros((steps, width, k)) if learn else None, np.ones((steps, width))
+    alpha, scale = np.zeros((steps, width, k), kind) if learn else None, np.ones((steps, width), kind)
     a = model.start * b[0]
     for t, n in enumerate(active):
         if t:
@@ -147,8 +150,8 @@ def recursion(model: Hmm, sequences: list[np.ndarray], learn: bool):
     likelihood = np.log(scale).sum(0)
     if not learn:
         return likelihood, None
-    beta = np.zeros((steps, width, k))
-    after = np.zeros((steps, width, k))  # emission times beta, scaled, of the step after
+    beta = np.zeros((steps, width, k), kind)
+    after = np.zeros((steps, width, k), kind)  # emission times beta, scaled, of the step after
     mt = model.move.T
     for t in range(steps - 1, -1, -1):
         n = active[t]
@@ -169,24 +172,30 @@ def _add(total, some):
     return some if total is None else tuple(x + y for x, y in zip(total, some))
 
 
-def _classes(tokens: np.ndarray, lengths: np.ndarray, keys: np.ndarray) -> list[np.ndarray]:
-    cls = (keys & np.uint64(CLASSES - 1)).astype(np.int64)[tokens] if len(tokens) else np.zeros(0, np.int64)
-    return [np.append(s, CLASSES) for s in np.split(cls, np.cumsum(lengths)[:-1])]
+def _classes(tokens: np.ndarray, lengths: np.ndarray, keys: np.ndarray, use: np.ndarray | None = None) -> list[np.ndarray]:
+    """The classes of each text's words and its end, of those texts that ``use`` names."""
+    cls = (keys & np.uint64(CLASSES - 1)).astype(np.int32)
+    edges = np.concatenate([[0], np.cumsum(lengths)])
+    return [np.append(cls[tokens[edges[i] : edges[i + 1]]], np.int32(CLASSES)) for i in (range(len(lengths)) if use is None else np.flatnonzero(use))]
 
 
-def _expect(model: Hmm):
-    """Expected counts of a partition: rows of sums by class; -1 the starts, -2 - i the moves from state i, and below these the log likelihood in s0."""
+def _expect(model: Hmm, one_in: int):
+    """Expected counts of a partition's learning documents, or of one in so many by a hash of doc_id: rows of sums by
+    class; -1 the starts, -2 - i the moves from state i, and below these the log likelihood in s0."""
 
     def run(batches):
         total, k = None, len(model.start)
+        quick = Hmm(*(x.astype(np.float32) for x in (model.start, model.move, model.emit)))
         for b in batches:
-            for train, lengths, tokens, keys in zip(*(b.column(i).to_pylist() for i in range(4))):
-                learn = np.frombuffer(train, np.uint8).astype(bool)
-                all_ = _classes(_unpack(tokens), np.frombuffer(lengths, np.int32), np.frombuffer(keys, np.uint64))
-                some = [s for s, use in zip(all_, learn) if use]
+            for docs, train, lengths, tokens, keys in zip(*(b.column(i).to_pylist() for i in range(5))):
+                use = np.frombuffer(train, np.uint8).astype(bool)
+                if one_in > 1:
+                    ids = np.array([-1 if d is None else d for d in docs], np.int64).view(np.uint64)
+                    use &= mix64(ids + np.uint64(0x9E3779B97F4A7C15)) % np.uint64(one_in) == 0
+                some = _classes(_unpack(tokens), np.frombuffer(lengths, np.int32), np.frombuffer(keys, np.uint64), use)
                 for group in lanes(some):
-                    likelihood, counts = recursion(model, [some[i] for i in group], True)
-                    total = _add(total, (*counts, likelihood.sum()))
+                    likelihood, counts = recursion(quick, [some[i] for i in group], True)
+                    total = _add(total, (*(c.astype(np.float64) for c in counts), likelihood.sum(dtype=np.float64)))
         if total is not None:
             start, move, emit, likelihood = total
             ids = np.concatenate([np.arange(CLASSES + 1), [-1], -2 - np.arange(k + 1)])
@@ -244,7 +253,7 @@ def lm_score(spark: SparkSession, docs: DataFrame, states: int = STATES, gain: f
     learns = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), learns.alias("learn"), "text")
     with Scratch(spark) as scratch:
-        chunks = scratch.table(rows.mapInArrow(_encode, CHUNKS))
+        chunks = scratch.table(rows.mapInArrow(trimmed(_encode), CHUNKS))
         words = chunks.select("chunk", "keys", "counts").mapInArrow(_vocabulary, "key long, chunk long, pos int, n int")
         by_word = Window.partitionBy("key")
         totals = words.select("chunk", "pos", "key", F.sum("n").over(by_word).alias("total"), (F.min("chunk").over(by_word) == F.col("chunk")).alias("first"))
@@ -258,16 +267,20 @@ def lm_score(spark: SparkSession, docs: DataFrame, states: int = STATES, gain: f
         overall = (of_class[0] + 1) / (n + CLASSES + 1)
         model = first_model(of_class[0], overall, states, seed)
         sums = [F.sum(f"s{i}").alias(f"s{i}") for i in range(states)]
-        last = -np.inf
-        while n:
-            form = "id int, " + ", ".join(f"s{i} double" for i in range(states))
-            got = chunks.select("train", "lengths", "tokens", "keys").mapInArrow(_expect(model), form).groupBy("id").agg(*sums).orderBy("id").toPandas()  # CLASSES + 3 + states rows
-            values, ids = got[[f"s{i}" for i in range(states)]].to_numpy(float), got["id"].to_numpy()
-            reached = values[ids == -2 - states][0, 0] + model.prior(overall)
-            model = Hmm.estimate(values[ids == -1][0], values[(ids < -1) & (ids > -2 - states)][::-1], values[ids >= 0], overall)
-            if reached - last < gain * n:
-                break
-            last = reached
+        form = "id int, " + ", ".join(f"s{i} double" for i in range(states))
+        for one_in in (FIRST, 1) if n else ():
+            last = -np.inf
+            while True:
+                got = chunks.select("docs", "train", "lengths", "tokens", "keys").mapInArrow(trimmed(_expect(model, one_in)), form).groupBy("id").agg(*sums).orderBy("id").toPandas()  # CLASSES + 3 + states rows
+                values, ids = got[[f"s{i}" for i in range(states)]].to_numpy(float), got["id"].to_numpy()
+                emitted = values[ids >= 0]
+                if not emitted.sum() > 0:  # none of so few documents is among the first
+                    break
+                reached = values[ids == -2 - states][0, 0] + model.prior(overall)
+                model = Hmm.estimate(values[ids == -1][0], values[(ids < -1) & (ids > -2 - states)][::-1], emitted, overall)
+                if reached - last < gain * emitted.sum():
+                    break
+                last = reached
         in_class = np.log10(of_class[0] + 0.1 * (of_class[1] + 1))
         form = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
         # a chunk of empty texts has no words: the cogroup gives it an empty right side
