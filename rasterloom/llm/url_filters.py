@@ -26,7 +26,7 @@ from .common import Scratch, ascii_lower, mix64, prepare
 BLOCK, ALLOW = "block", "allow"
 #: (host, path, verdict)
 RULES = (("com", "/en/", BLOCK), ("example.com", "/en/7", ALLOW), ("net", "/de/", ALLOW), ("example.net", "/de/8", BLOCK), ("org", "/es/", BLOCK))
-#: A cascade of more bytes is not broadcast.
+#: A cascade of more bytes is not broadcast: the keys are split by hash, with a cascade for each part.
 BROADCAST_BYTES = 64 << 20
 
 
@@ -88,7 +88,7 @@ def build_cascade(spark: SparkSession, keys: DataFrame, max_levels: int = 64, ma
 
     Each level's bits are set by partial words per partition, or-ed per word in Spark; the driver
     gets the finished filter, whose size follows from counted keys and is checked first against
-    ``max_bytes``; a larger cascade is refused with a MemoryError, and no caller splits the keys.
+    ``max_bytes``; a larger cascade is a MemoryError, upon which :func:`url_filter` splits the keys.
     """
     with Scratch(spark) as scratch:
         keys = scratch.table(keys)
@@ -140,50 +140,75 @@ def _keyed(pages: DataFrame, shapes: list[tuple[int, int]]) -> DataFrame:
     return pages.withColumn("__keys", F.array(*keys))
 
 
-def url_filter(spark: SparkSession, pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, default: str = ALLOW) -> DataFrame:
+def url_filter(spark: SparkSession, pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, default: str = ALLOW, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``pages`` with host, path, rule and verdict.
 
     A rule (host, path, verdict) fits its host and all subdomains where the path starts with the
     rule's; the longest (host and path together) wins, ties going to the longer host; ``default`` is the verdict of URLs that no rule
     fits. Null, empty and malformed URLs have empty host and path, no rule and the default verdict.
     Repeated rows are judged alike; an empty table gives an empty result; columns of the input
-    named host, path, rule or verdict are replaced.
+    named host, path, rule or verdict are replaced. Where a cascade would exceed ``max_bytes``, the keys are
+    split by hash and the pages pass one part's cascades after the other.
     """
     prepare(spark)
     rules = sorted(set(rules))
     host, path = host_and_path(F.col("url"))
     pages = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
-    shapes = sorted({(h.count(".") + 1, len(p)) for h, p, _ in rules}, key=lambda x: (-x[0] - x[1], -x[0]))
+    shapes = sorted({(h.count(".") + 1, len(p)) for h, p, _ in rules})
     keyed = _keyed(pages, shapes)
     hashed = [F.xxhash64(F.col("key")).alias("k1"), F.xxhash64(F.lit(1), F.col("key")).alias("k2")]
     corpus = keyed.select(F.explode("__keys").alias("key")).where("key IS NOT NULL").distinct()
-    cascades = {}
-    for verdict in (BLOCK, ALLOW):
-        listed = [(h + p,) for h, p, v in rules if v == verdict]
-        marked = spark.createDataFrame(listed, "key string").select("key", F.lit(True).alias("listed"))
-        universe = corpus.select("key", F.lit(False).alias("listed")).unionByName(marked).groupBy(*hashed).agg(F.max("listed").alias("listed"))
-        cascades[verdict] = build_cascade(spark, universe)
-    sent = spark.sparkContext.broadcast(cascades)  # each within BROADCAST_BYTES by construction
-
-    @F.pandas_udf("struct<rule string, verdict string>")
+    marked = spark.createDataFrame([(h + p, v) for h, p, v in rules], "key string, verdict string")
+    with Scratch(spark) as scratch:
+        universe = corpus.select("key", F.lit(None).cast("string").alias("verdict")).unionByName(marked).groupBy(*hashed)
+        universe = scratch.table(universe.agg(*(F.max(F.coalesce(F.col("verdict") == v, F.lit(False))).alias(v) for v in (BLOCK, ALLOW))))
+        split = 1
+        while True:
+            try:
+                judged = _judge_parts(spark, scratch, keyed, universe, split, [m for _, m in shapes], default, max_bytes)
+                break
+            except MemoryError:
+                split *= 2
+    judged = judged.drop("__keys", "__best")
+    return judged.select(*(c for c in judged.columns if c not in ("rule", "verdict")), "rule", "verdict")
+
+
+def _judge_parts(spark: SparkSession, scratch: Scratch, pages: DataFrame, universe: DataFrame, split: int, paths: list[int], default: str, max_bytes: int) -> DataFrame:
+    """``pages(__keys)`` judged by the cascades of ``split`` parts of the keys, one after the other; a table between two."""
+    k1 = F.transform("__keys", lambda k: F.xxhash64(k))
+    k2 = F.transform("__keys", lambda k: F.xxhash64(F.lit(1), k))
+    pages = pages.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default), "__best": F.lit(-1).cast("long")})
+    for part in range(split):
+        some = universe if split == 1 else universe.where(F.pmod("k1", F.lit(split)) == part)
+        sent = spark.sparkContext.broadcast({v: build_cascade(spark, some.select("k1", "k2", F.col(v).alias("listed")), max_bytes=max_bytes) for v in (BLOCK, ALLOW)})  # each within max_bytes
+        judged = _judge(sent, split, part, paths)("__keys", k1, k2)
+        pages = pages.withColumn("__judged", judged)
+        better = F.col("__judged.rank") > F.col("__best")
+        pages = pages.withColumns({c: F.when(better, F.col(f"__judged.{x}")).otherwise(F.col(c)) for c, x in (("rule", "rule"), ("verdict", "verdict"), ("__best", "rank"))}).drop("__judged")
+        if split > 1:
+            pages = scratch.table(pages) if part < split - 1 else scratch.keep(pages)
+            sent.unpersist()
+    return pages
+
+
+def _judge(sent, split: int, part: int, paths: list[int]):
+    @F.pandas_udf("struct<rank long, rule string, verdict string>")
     def judge(keys: pd.Series, k1: pd.Series, k2: pd.Series) -> pd.DataFrame:
+        """Each row's longest listed key among those of this part, ties going to the longer host."""
         sizes = np.fromiter(map(len, keys), np.int64, len(keys))
         flat = [np.concatenate([np.asarray(x, np.int64) for x in k] or [np.zeros(0, np.int64)]) for k in (k1, k2)]
         flat_keys = [x for row in keys for x in row]
-        here = np.fromiter((x is not None for x in flat_keys), bool, len(flat_keys))
+        here = np.fromiter((x is not None for x in flat_keys), bool, len(flat_keys)) & (flat[0] % split == part)
         hit = {v: c.listed(*flat) & here for v, c in sent.value.items()}
-        any_hit = hit[BLOCK] | hit[ALLOW]
-        rule, verdict = [None] * len(keys), [default] * len(keys)
-        row = np.repeat(np.arange(len(keys)), sizes)
-        # a row's keys come longest first, so that going backwards the last to be set is the longest
-        for i in np.flatnonzero(any_hit)[::-1].tolist():
-            rule[row[i]], verdict[row[i]] = flat_keys[i], BLOCK if hit[BLOCK][i] else ALLOW
-        return pd.DataFrame({"rule": rule, "verdict": verdict})
-
-    k1 = F.transform("__keys", lambda k: F.xxhash64(k))
-    k2 = F.transform("__keys", lambda k: F.xxhash64(F.lit(1), k))
-    out = keyed.withColumn("__judged", judge("__keys", k1, k2))
-    return out.withColumns({"rule": F.col("__judged.rule"), "verdict": F.col("__judged.verdict")}).drop("__keys", "__judged")
+        rank, rule, verdict = [-1] * len(keys), [None] * len(keys), [None] * len(keys)
+        row, starts = np.repeat(np.arange(len(keys)), sizes), np.cumsum(sizes) - sizes
+        for i in np.flatnonzero(hit[BLOCK] | hit[ALLOW]).tolist():
+            r, key = row[i], flat_keys[i]
+            if (new := len(key) << 32 | len(key) - paths[i - starts[r]]) > rank[r]:
+                rank[r], rule[r], verdict[r] = new, key, BLOCK if hit[BLOCK][i] else ALLOW
+        return pd.DataFrame({"rank": rank, "rule": rule, "verdict": verdict})
+
+    return judge
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
