@@ -186,7 +186,9 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
     chosen = spark.createDataFrame(chosen.select(F.col("doc_id").cast("long").alias("__id"), F.col("__y").cast("int").alias("__y")).toPandas(), "__id long, __y int")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
     rows, names = with_statistics(rows)
-    got = rows.select("doc_id", "__y", *names).toPandas().sort_values(["doc_id", *names]).drop_duplicates("doc_id")
+    # rows that repeat a doc_id are one, the smallest by its statistics: at most ``sample`` rows
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct(*names, "__y")).alias("__row")).select("doc_id", "__row.*")
+    got = rows.select("doc_id", "__y", *names).toPandas().sort_values("doc_id")
     got = got.iloc[np.random.default_rng(42).permutation(len(got))]
     return fit(names, got[names].to_numpy(float), got["__y"].to_numpy(float))
 
