@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import pathlib
 import random
 import zlib
 
@@ -10,11 +11,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-DOCS = "doc_id long, text string, lang string, source string"
-
+from .brute import jaccard_groups, union_find, words
 
-def words(text):
-    return (text or "").encode().lower().split()
+DOCS = "doc_id long, text string, lang string, source string"
 
 
 @pytest.fixture(scope="module")
@@ -76,6 +75,16 @@ def test_url_filter(spark):
     assert rows(url_filter(spark, pages.limit(0))) == []
 
 
+def test_url_filter_splits_large_rule_lists(spark):
+    from rasterloom.llm.url_filters import BLOCK, url_filter
+
+    rules = [(f"h{i}.com", "/a/", BLOCK if i % 2 else "allow") for i in range(300)] + [("h7.com", "/a/b", "allow"), ("com", "/a/b/c", BLOCK)]
+    urls = [f"http://{'x.' * (i % 2)}h{i % 400}.com/a/{'b/c'[: i % 4]}{'/long' * (i % 50) * 40}" for i in range(1200)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in rows(url_filter(spark, pages, rules, max_bytes=220))}
+    assert got == {i: judged(u, rules) for i, u in enumerate(urls)}
+
+
 def test_cascade_is_exact(spark):
     from rasterloom.llm.url_filters import build_cascade
 
@@ -167,20 +176,6 @@ def test_hilbert_is_a_curve():
     assert (np.abs(np.diff(order, axis=0)).sum(1) == 1).all()
 
 
-def union_find(pairs, ids):
-    parent = {i: i for i in ids}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a, b in pairs:
-        a, b = find(a), find(b)
-        parent[max(a, b)] = min(a, b)
-    return {i: find(i) for i in ids}
-
-
 def test_vector_dedup(spark, vectors, monkeypatch):
     from rasterloom.llm import vector_dedup as m
 
@@ -309,17 +304,35 @@ def test_license_scan_weighs_every_term_by_the_corpus(spark):
     assert got["a/x.py"]["from_path"] == "a/LICENSE" and got["b/y.py"]["license"] is None
 
 
-# 6
+def test_license_scan_knows_texts_and_headers(spark):
+    from rasterloom.llm.license_scan import LONG, license_scan
+
+    folder = pathlib.Path(license_scan.__code__.co_filename).parent / "licences"
+    texts = collections.defaultdict(dict)
+    for p in folder.glob("*.txt"):
+        name, _, kind = p.stem.partition("~")
+        texts[name][kind] = p.read_text()
+    assert sorted((name, text) for name, x in texts.items() for text in x.values()) == sorted(LONG)
+    wrap = lambda text, mark: "\n".join(f"{mark} {x}".rstrip() for x in text.split("\n"))
+    code = "\nimport os\n\nclass Handler:\n    def run(self):\n        return os.getcwd()\n" * 80
+    files, want = [], {}
+    for name in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "CC0-1.0"):
+        files.append((f"{name}/LICENSE", "Copyright (c) 2019-2024 Jane Q. Author and others\n\n" + texts[name]["text"]))
+        files.append((f"{name}/deep/er/code.py", code))
+        want[f"{name}/LICENSE"] = (name, "file")
+        want[f"{name}/deep/er/code.py"] = (name, "inherited")
+    for name in ("Apache-2.0", "MPL-2.0", "GPL-3.0", "AGPL-3.0"):
+        for mark in ("#", " *", "//"):
+            files.append((f"src/{name}{len(files)}.c", wrap("Copyright 2021 The Authors\n" + texts[name]["header"], mark) + "\n" + code))
+            want[files[-1][0]] = (name, "header")
+    files += [(f"plain/{i}.txt", f"plain words of document {i}\n\nand a second block of it\n" + "other text " * i) for i in range(200)]
+    files += [("src/talk.md", "We talked about the license of the software.\nThe copyright of it is ours.\n\n" + "More talk follows here. " * 50)]
+    got = {r["path"]: (r["license"], r["how"]) for r in rows(license_scan(spark, spark.createDataFrame(files, "path string, text string")))}
+    assert {p: got[p] for p in want} == want
+    assert all(v == (None, "none") for p, v in got.items() if p not in want)
 
 
-def jaccard_groups(corpus, n, percent):
-    sets = {}
-    for i, text, *_ in corpus:
-        w = words(text)
-        sets[i] = {tuple(w[j : j + n]) for j in range(max(1, len(w) - n + 1))} if w else set()
-    pairs = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
-    low = union_find(pairs, sets)
-    return {i: (len(s), low[i]) for i, s in sets.items()}
+# 6
 
 
 @pytest.mark.parametrize("n,percent", [(3, 90), (5, 80)])
@@ -341,6 +354,22 @@ def test_jaccard(spark, docs, corpus, n, percent, monkeypatch):
         assert collections.Counter((r["doc_id"], r["component_id"]) for r in rows(jaccard_components(spark, odd))) == collections.Counter([(None, None), (4, 4), (None, None), (5, 5), (5, 5), (None, None)])
 
 
+def test_shingler_tells_words_apart(monkeypatch):
+    from rasterloom.llm import near_jaccard as m
+
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choice("abAB\u00e9") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    texts += ["", " \t\n", "x", "\x00 \x00\x00", "word " * 50, "a" * 300, "\r\x0ba\x0c \x85b\xa0c"]
+    known = {}
+    whole = [m.Shingler(2).words(t.encode()).tolist() for t in texts]
+    for t, got in zip(texts, whole):
+        assert len(got) == len(words(t))
+        assert all(known.setdefault(w, h) == h for w, h in zip(words(t), got))
+    assert len(set(known.values())) == len(known)
+    monkeypatch.setattr(m, "PIECE", 7)  # words over the ends of pieces
+    assert [m.Shingler(2).words(t.encode()).tolist() for t in texts] == whole and m.Shingler(3)(None).tolist() == []
+
+
 def needed_signatures(features, t, seed):
     from rasterloom.llm.common import mix64
     from rasterloom.llm.near_jaccard import band_signatures
@@ -397,6 +426,27 @@ def test_line_dedup(spark, docs, corpus):
     assert {r["n_dropped"] for r in rows(line_dedup(spark, same))} == {0}
 
 
+def test_line_runs_outlive_a_call(spark, tmp_path):
+    from rasterloom.llm.line_dedup import LineRuns, line_dedup
+
+    line = lambda k: f"a line of twenty or more, number {k}"
+    texts = {i: "\n".join(line(k) for k in {i % 7, 50 + i % 3, 100 + i}) for i in range(60)}
+    holders = collections.defaultdict(set)
+    for start in (0, 30, 15, 45):  # batches in no order
+        some = {i: t for i, t in texts.items() if start <= i < start + 15}
+        for i, t in some.items():
+            for x in t.split("\n"):
+                holders[x].add(i)
+        frame = spark.createDataFrame(list(some.items()), "doc_id long, text string")
+        got = {r["doc_id"]: r["text"] for r in rows(line_dedup(spark, frame, batches=2, runs=str(tmp_path / "runs")))}
+        assert got == {i: "\n".join(x for x in t.split("\n") if len(holders[x]) < 3 or max(holders[x]) == i) for i, t in some.items()}
+    runs = LineRuns(spark, str(tmp_path / "runs"))
+    assert runs.version == 8 and 1 <= sum(map(len, runs.levels)) <= 4  # eight batches, merged in between
+    plan = runs._merge([runs.merged(), runs.merged()])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan  # runs are merged as they lie
+    runs.close()
+
+
 # 9
 
 
@@ -447,13 +497,74 @@ def test_mixing(spark, docs, corpus):
     assert rows(mix(spark, table.limit(0))) == []
 
 
+def test_mixing_overlapping_sources(spark, corpus, monkeypatch):
+    from rasterloom.llm import mixing as m
+
+    # repeated and null sources, no sources, null doc_ids, repeated rows, a clashing column
+    data = [(i if i % 9 else None, text, [["a", "b", "a"], ["b"], ["c", None], None, ["a", "b", "c"], []][i % 6], "x") for i, text, *_ in corpus]
+    data += [(7, "one two three four five", ["b"], "x")] * 3
+    table = spark.createDataFrame(data, "doc_id long, text string, sources array<string>, taken string").repartition(3)
+    pattern = lambda s: tuple(sorted(set(s or [None]), key=lambda x: (x is None, x or "")))
+    size = collections.Counter()
+    for _, text, s, _ in data:
+        size[pattern(s)] += len(words(text))
+    want, sizes, goal = m.plan(dict(size), m.WEIGHTS, 1.5, 2)
+    got = rows(m.mix(spark, table))
+    assert len(got) == len(data)
+    taken = collections.Counter()
+    for r in got:
+        p = pattern(r["sources"])
+        taken[p] += r["taken"]
+        assert r["size"] == len(words(r["text"])) and r["taken"] in (0, r["size"], 2 * r["size"])
+        assert r["source_size"] == sum(sizes[s] for s in p) and r["target"] == pytest.approx(math.fsum(goal[s] for s in p))
+    longest = max(len(words(t)) for _, t, *_ in data)
+    assert all(abs(taken[p] - want[p]) <= longest / 2 + 1 for p in size)
+    monkeypatch.setattr(m, "EDGE_ROWS", 2)  # several steps of the histogram
+    monkeypatch.setattr(m, "EDGE_DOCS", 2)
+    fine = collections.Counter()
+    for r in rows(m.mix(spark, table)):
+        fine[pattern(r["sources"])] += r["taken"]
+    assert all(abs(fine[p] - want[p]) <= longest + 1 for p in size)
+    monkeypatch.setattr(m, "MAX_PATTERNS", 2)  # other patterns go by one of their sources
+    few = rows(m.mix(spark, table))
+    assert len(few) == len(data) and {r["source_size"] for r in few} <= {sum(sizes[s] for s in p) for p in [*size, *((s,) for s in sizes)]}
+    assert abs(sum(r["taken"] for r in few) - sum(goal.values())) <= 6 * longest
+
+
 def test_targets_and_flow():
+    import itertools
+
     from rasterloom.llm.mixing import min_cost_flow, plan, targets
 
     assert targets({"a": 10, "b": 100}, {"a": 3, "b": 1}, 165, 2) == {"a": 20.0, "b": 145.0}
+
+    def cost(patterns, taken):  # the r-th repetition of a word costs 2r + 1
+        return sum(min(n, max(0, taken[p] - r * n)) * (2 * r + 1) for p, n in patterns.items() for r in range(2))
+
+    def best(patterns, goal):
+        """The most words that the sources' targets allow and the least that they cost, by trying everything."""
+        found = {}
+        arcs = [(p, s) for p in patterns for s in p]
+        for flow in itertools.product(*(range(min(2 * patterns[p], round(goal[s])) + 1) for p, s in arcs)):
+            taken, into = collections.Counter(), collections.Counter()
+            for (p, s), x in zip(arcs, flow):
+                taken[p] += x
+                into[s] += x
+            if all(taken[p] <= 2 * n for p, n in patterns.items()) and all(into[s] <= round(goal[s]) for s in into):
+                total = sum(taken.values())
+                found[total] = min(found.get(total, math.inf), cost(patterns, taken))
+        return max(found), found[max(found)]
+
+    rng = random.Random(8)
+    for share in (0.5, 1.0, 1.5):
+        for _ in range(4):
+            patterns = {p: rng.randint(0, 4) for p in [("a",), ("a", "b"), ("b",)]}
+            taken, sizes, goal = plan(patterns, (1, 1), share, 2)
+            assert sizes == {"a": patterns[("a",)] + patterns[("a", "b")], "b": patterns[("b",)] + patterns[("a", "b")]}
+            assert (sum(taken.values()), cost(patterns, taken)) == best(patterns, goal)
     taken, sizes, goal = plan({("a",): 100, ("a", "b"): 50, ("b",): 10}, (1, 1), 1.0, 2)
-    assert sizes == {"a": 150, "b": 60} and goal == {"a": 80.0, "b": 80.0} and sum(taken.values()) == 160
-    assert taken == {("a",): 100, ("a", "b"): 50, ("b",): 10}  # nothing is repeated while something is unused
+    assert sizes == {"a": 150, "b": 60} and goal == {"a": 80.0, "b": 80.0}
+    assert sum(taken.values()) == 160 and cost({("a",): 100, ("a", "b"): 50, ("b",): 10}, taken) == 200  # words of "a" alone fill its target: 20 others come twice
     assert min_cost_flow(4, [(0, 1, 5, 1), (0, 2, 5, 3), (1, 3, 4, 0), (2, 3, 4, 0), (1, 2, 9, 0)], 0, 3) == [5, 3, 4, 4, 1]
 
 
