@@ -32,7 +32,7 @@ GAIN = 1e-3
 #: Of so many learning documents one is in the first rounds.
 FIRST = 16
 #: Tokens of a chunk, and tokens whose recursions run side by side.
-CHUNK, LANES = 3_000_000, 200_000
+CHUNK, LANES = 3_000_000, 400_000
 PRIOR = 20.0
 
 
@@ -136,36 +136,38 @@ def recursion(model: Hmm, sequences: list[np.ndarray], learn: bool):
     for d, s in enumerate(sequences):
         tokens[: len(s), d] = s
     active = (lengths[None, :] > np.arange(steps)[:, None]).sum(1).tolist()
-    b = model.emit[tokens]
+    b, ones = model.emit[tokens], np.ones(k, kind)
     alpha, scale = np.zeros((steps, width, k), kind) if learn else None, np.ones((steps, width), kind)
     a = model.start * b[0]
     for t, n in enumerate(active):
         if t:
-            a = (a[:n] @ model.move) * b[t, :n]
-        c = a.sum(1)
-        a = a / c[:, None]
+            a = a[:n] @ model.move
+            a *= b[t, :n]
+        c = a @ ones
+        a /= c[:, None]
         scale[t, :n] = c
         if learn:
             alpha[t, :n] = a
-    likelihood = np.log(scale).sum(0)
+    likelihood = np.log(scale).sum(0, dtype=np.float64)
     if not learn:
         return likelihood, None
-    beta = np.zeros((steps, width, k), kind)
-    after = np.zeros((steps, width, k), kind)  # emission times beta, scaled, of the step after
-    mt = model.move.T
-    for t in range(steps - 1, -1, -1):
-        n = active[t]
-        m = active[t + 1] if t + 1 < steps else 0
-        beta[t, :n] = 1.0
-        if m:
-            x = b[t + 1, :m] * beta[t + 1, :m] / scale[t + 1, :m, None]
-            after[t, :m] = x
-            beta[t, :m] = x @ mt
-    gamma = alpha * beta
-    move = model.move * (alpha.reshape(-1, k).T @ after.reshape(-1, k))
-    flat = tokens.ravel()
-    emit = np.stack([np.bincount(flat, gamma[:, :, i].ravel(), CLASSES + 1) for i in range(k)], 1)
-    return likelihood, (gamma[0].sum(0), move, emit)
+    # backwards; b becomes emission times beta, scaled, and alpha times beta what each state expects of a token
+    beta, mt = np.ones((steps, width, k), kind), np.ascontiguousarray(model.move.T)
+    b /= scale[:, :, None]
+    for t in range(steps - 2, -1, -1):
+        m = active[t + 1]
+        x = b[t + 1, :m]
+        x *= beta[t + 1, :m]
+        np.matmul(x, mt, out=beta[t, :m])
+        b[t + 1, m:] = 0
+    move = model.move * (alpha[:-1].reshape(-1, k).T @ b[1:].reshape(-1, k)) if steps > 1 else np.zeros((k, k))
+    alpha *= beta
+    flat = tokens.ravel().astype(np.int16)
+    order = np.argsort(flat, kind="stable")
+    where, starts = np.unique(flat[order], return_index=True)
+    emit = np.zeros((CLASSES + 1, k))
+    emit[where] = np.add.reduceat(alpha.reshape(-1, k)[order], starts, 0)
+    return likelihood, (alpha[0].sum(0), move, emit)
 
 
 def _add(total, some):
