@@ -6,13 +6,14 @@ border pixels, box filters extend the edge, resampling widens its support when i
 
 from __future__ import annotations
 
+import colorsys
 import math
 import random
 import zlib
 
 import numpy as np
 
-from .pixels import REGION_COLORS, palette_table
+from .pixels import HUES, REGION_COLORS, palette_table
 
 
 def clip8(v) -> np.ndarray:
@@ -381,21 +382,54 @@ def suppress(boxes: list[tuple[float, tuple]], most: float = 0.5) -> list[tuple[
     return kept
 
 
+def measured(labels: np.ndarray, v: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Of each label from 1 on: area, inclusive box, and the sum of ``v``; one pass over the sorted labels."""
+    n, w = int(labels.max(initial=0)), labels.shape[1]
+    flat = labels.ravel()
+    area = np.bincount(flat, minlength=n + 1)
+    order = np.argsort(flat, kind="stable")[area[0] :]  # places of a label in raster order
+    starts = np.concatenate([[0], np.cumsum(area[1:])[:-1]]).astype(np.int64) if n else np.zeros(0, np.int64)
+    y, x = np.divmod(order, w)
+    least, most = (lambda q, f=f: f.reduceat(q, starts) if n else starts for f in (np.minimum, np.maximum))
+    total = np.bincount(flat, v.ravel(), n + 1)[1:].astype(np.int64) if v is not None else np.zeros(n, np.int64)
+    return {"area": area[1:], "x0": least(x), "y0": least(y), "x1": most(x), "y1": most(y), "sum": total}
+
+
+def box_color(a: np.ndarray) -> list[int]:
+    """An image scaled to one pixel: triangle weights along rows, rounded, then along the column, in whole numbers."""
+    def one(v):  # the mean over the last axis but one, n values
+        n = v.shape[-2]
+        w = 2 * n - np.abs(2 * np.arange(n) + 1 - n)
+        return (2 * (w[:, None] * v).sum(-2) + w.sum()) // (2 * w.sum())
+
+    return [int(c) for c in one(one(a.astype(np.int64)))]
+
+
+def color_name(rgb) -> str:
+    """As the column expression names it."""
+    h, s, v = colorsys.rgb_to_hsv(*(c / 255 for c in rgb))
+    if s < 0.15:
+        return "white" if v > 0.6 else "dark"
+    return next((name for end, name in HUES if h * 360 < end), "colorful")
+
+
 def detect(a, method="saliency", threshold=None, max_boxes=20, min_size=0.02):
-    """Boxes (x, y, w, h, score) on the original, from a working copy of 360 pixels."""
+    """(boxes, the threshold used): from a working copy of 360 pixels, boxes with score, label and mean color on the original's coordinates."""
     work = downscale(a, 360)
     ratio = a.shape[1] / work.shape[1]
     s = saliency(work, method)
-    labels = label_components(s >= (otsu(s) if threshold is None else threshold))
-    found = []
-    for n in range(1, labels.max() + 1):
-        y, x = np.nonzero(labels == n)
-        w, h = int(x.max() - x.min()), int(y.max() - y.min())
-        if w * h >= s.size * min_size**2 * 0.25:
-            found.append((float(s[y, x].mean()), (int(x.min()), int(y.min()), w, h)))
-    kept = suppress(found)[: max(0, int(max_boxes))]
-    top = kept[0][0] if kept else 1.0
-    return [{"box": [round(v * ratio) for v in b], "score": round(score / (top or 1.0), 4)} for score, b in kept]
+    cut = otsu(s) if threshold is None else int(threshold)
+    m = measured(label_components(s >= cut), s)
+    w, h = m["x1"] - m["x0"], m["y1"] - m["y0"]
+    score = m["sum"] / np.maximum(m["area"], 1)
+    large = np.flatnonzero(w * h >= s.size * min_size**2 * 0.25)
+    kept = suppress([(float(score[i]), (int(m["x0"][i]), int(m["y0"][i]), int(w[i]), int(h[i]))) for i in large])[: max(0, int(max_boxes))]
+    top = (kept[0][0] if kept else 1.0) or 1.0
+    out = []
+    for value, (x, y, bw, bh) in kept:
+        color = box_color(work[y : y + bh, x : x + bw])
+        out.append(dict(zip("xywh", (round(v * ratio) for v in (x, y, bw, bh)))) | {"score": round(min(1.0, value / top), 3), "label": color_name(color), "mean_color": color})
+    return out, cut
 
 
 def median_cut(a: np.ndarray, n: int) -> np.ndarray:
@@ -429,11 +463,11 @@ def segment_labels(work: np.ndarray, method="threshold", value=127, colors=6) ->
     out, following = np.zeros(g.shape, np.int64), 1
     for i in ids[np.argsort(-counts, kind="stable")][: int(colors) + 2]:
         parts = label_components(index == i)
-        for k in range(1, parts.max() + 1):
-            here = parts == k
-            if here.sum() >= 0.002 * g.size:
-                out[here] = following
-                following += 1
+        large = np.flatnonzero(np.bincount(parts.ravel())[1:] >= 0.002 * g.size) + 1
+        names = np.zeros(int(parts.max(initial=0)) + 1, np.int64)
+        names[large] = following + np.arange(len(large))
+        out = np.where(names[parts] > 0, names[parts], out)
+        following += len(large)
     return out
 
 
@@ -442,12 +476,11 @@ def segment(a, method="threshold", value=127, block=15, colors=6, alpha=0.45):
     work = downscale(a, 360)
     labels = segment_labels(work, method, value, colors)
     ratio = a.shape[1] / work.shape[1]
-    regions = []
-    for n in range(1, labels.max() + 1):
-        y, x = np.nonzero(labels == n)
-        x0, y0, x1, y1 = (int(v) for v in (x.min(), y.min(), x.max() + 1, y.max() + 1))
-        regions.append({"id": n, "area": round(len(x) * ratio**2), "coverage": round(len(x) / labels.size, 4), "box": [round(v * ratio) for v in (x0, y0, x1 - x0, y1 - y0)], "mean_color": work[y0:y1, x0:x1].reshape(-1, 3).mean(0).astype(int).tolist()})
-    regions.sort(key=lambda r: (-r["area"], r["id"]))
+    m, regions = measured(labels), []
+    for i in np.argsort(-m["area"], kind="stable"):
+        x0, y0, x1, y1 = (int(m[c][i]) for c in ("x0", "y0", "x1", "y1"))
+        box = [round(v * ratio) for v in (x0, y0, x1 - x0, y1 - y0)]  # as wide as its last place is from its first
+        regions.append({"id": int(i) + 1, "area": round(int(m["area"][i]) * ratio * ratio), "coverage": round(int(m["area"][i]) / labels.size, 4), "box": box, "mean_color": box_color(work[y0 : y1 + 1, x0 : x1 + 1])})
     paint = np.array([(0, 0, 0), *REGION_COLORS], np.uint8)[np.where(labels > 0, (labels - 1) % len(REGION_COLORS) + 1, 0)]
     edge = gray3(kernel(luma(paint), FIND_EDGES))
     paint = blend(paint, edge, 0.35)
@@ -503,13 +536,115 @@ def sift(g: np.ndarray, x: int, y: int, angle: float) -> list[int]:
 
 def orb(g: np.ndarray, x: int, y: int) -> list[int]:
     """256 comparisons of pixel pairs drawn by a generator that the position seeds."""
-    h, w = g.shape
+    h, w = g.shape  # the seed's factors and the range of the draws are fixed values
     draw = random.Random(x * 1000003 + y * 99991).randrange
     at = np.array([[draw(-8, 9) for _ in range(4)] for _ in range(256)])
     take = lambda i: g[np.clip(y + at[:, i + 1], 0, h - 1), np.clip(x + at[:, i], 0, w - 1)]
     return (take(0) < take(2)).astype(int).tolist()
 
 
+#: The ring of radius 3, clockwise from above, as (x, y).
+RING = ((0, -3), (1, -3), (2, -2), (3, -1), (3, 0), (3, 1), (2, 2), (1, 3), (0, 3), (-1, 3), (-2, 2), (-3, 1), (-3, 0), (-3, -1), (-2, -2), (-1, -3))
+
+
+def fast_corners(g: np.ndarray, threshold=40, run=9) -> np.ndarray:
+    """Where ``run`` neighbours on the ring, one after the other from above on, are all brighter or all darker by more than ``threshold``. The ring doesn't close; a margin of 3 has none."""
+    h, w = g.shape
+    out = np.zeros(g.shape, bool)
+    if h <= 6 or w <= 6:
+        return out
+    v = g.astype(np.int64)
+    inner = v[3:-3, 3:-3]
+    ring = np.stack([v[3 + y : h - 3 + y, 3 + x : w - 3 + x] for x, y in RING])
+    for side in (ring > inner + threshold, ring < inner - threshold):
+        out[3:-3, 3:-3] |= np.lib.stride_tricks.sliding_window_view(side, run, 0).all(-1).any(0)
+    return out
+
+
+def match(a: np.ndarray, b: np.ndarray, method="sift", max_points=120, max_matches=40, ratio=0.75) -> dict:
+    """Keypoints of both images, nearest descriptors by the ratio test, one to one by rising distance, and the canvas."""
+    ka, kb = keypoints(a, method, max_points), keypoints(b, method, max_points)
+    found = []
+    if ka and kb:
+        da, db = (np.array([p["descriptor"] for p in ks], np.int64) for ks in (ka, kb))
+        for i, d in enumerate(da):
+            far = (db != d).sum(1).astype(float) if method == "orb" else np.sqrt(((db - d) ** 2).sum(1))
+            order = np.argsort(far, kind="stable")[:2]
+            if len(order) < 2 or far[order[0]] < ratio * far[order[1]]:
+                found.append((float(far[order[0]]), i, int(order[0])))
+    matches, used = [], set()
+    for d, i, j in sorted(found):
+        if j not in used and len(matches) < max(1, max_matches):
+            used.add(j)
+            matches.append({"a": {c: ka[i][c] for c in "xy"}, "b": {c: kb[j][c] for c in "xy"}, "distance": round(d, 3)})
+    return {"method": method, "count": len(matches), "matches": matches, "count_a": len(ka), "count_b": len(kb), "image": side_by_side(a, b, matches)}
+
+
+def line(out: np.ndarray, x0: int, y0: int, x1: int, y1: int, color) -> None:
+    """A line of one pixel, cut off at the image's edges."""
+    n = max(abs(x1 - x0), abs(y1 - y0)) + 1
+    x, y = np.rint(np.linspace(x0, x1, n)).astype(int), np.rint(np.linspace(y0, y1, n)).astype(int)
+    ok = (x >= 0) & (y >= 0) & (x < out.shape[1]) & (y < out.shape[0])
+    out[y[ok], x[ok]] = color
+
+
+def disc(out: np.ndarray, x: int, y: int, r: int, color, filled=True) -> None:
+    dy, dx = np.mgrid[-r : r + 1, -r : r + 1]
+    far = dy * dy + dx * dx
+    on = (far <= r * r) & (filled | (far > (r - 1) * (r - 1)))
+    py, px = y + dy[on], x + dx[on]
+    ok = (px >= 0) & (py >= 0) & (px < out.shape[1]) & (py < out.shape[0])
+    out[py[ok], px[ok]] = color
+
+
+def side_by_side(a: np.ndarray, b: np.ndarray, matches: list[dict]) -> np.ndarray:
+    """Both images on one canvas; a match is a line with a disc at each end, its hue by its distance."""
+    out = np.full((max(a.shape[0], b.shape[0]), a.shape[1] + b.shape[1], 3), 20, np.uint8)
+    out[: a.shape[0], : a.shape[1]], out[: b.shape[0], a.shape[1] :] = a, b
+    for m in matches:
+        color = [int(c * 255) for c in colorsys.hsv_to_rgb(m["distance"] * 137.5 % 1.0, 0.9, 1.0)]
+        ends = (m["a"]["x"], m["a"]["y"]), (a.shape[1] + m["b"]["x"], m["b"]["y"])
+        line(out, *ends[0], *ends[1], color)
+        for x, y in ends:
+            disc(out, x, y, 3, color)
+    return out
+
+
+def draw_keypoints(a: np.ndarray, points: list[dict], method="sift") -> np.ndarray:
+    """A ring around each point and a line of twice its size in its direction."""
+    out, color = a.copy(), (255, 60, 60) if method == "sift" else (60, 160, 255)
+    for p in points:
+        size = max(2.0, p["size"])
+        disc(out, p["x"], p["y"], max(2, int(size)), color, filled=False)
+        line(out, p["x"], p["y"], p["x"] + int(2 * size * math.cos(p["angle"])), p["y"] + int(2 * size * math.sin(p["angle"])), color)
+    return out
+
+
+def difference_heat(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, dict]:
+    """(heat map, metrics) of ``a``, scaled to the size of ``b``, and ``b``."""
+    a = resample(a, b.shape[1], b.shape[0], "lanczos")
+    d = luma(np.abs(a.astype(np.int64) - b).astype(np.uint8)).astype(np.int64)
+    mse = float(d.sum()) / max(d.size, 1)
+    psnr = 100.0 if mse < 1e-9 else 20 * math.log10(255.0 / max(math.sqrt(mse), 1e-6))
+    t = np.minimum(255, d * 4) / 255
+    low = t < 0.5
+    heat = np.stack([np.where(low, t * 2 * 255, 255), np.where(low, 0, (t - 0.5) * 2 * 255), np.where(low, (0.5 - t) * 2 * 255, 0)], 2).astype(np.uint8)
+    return heat, {"mse": round(mse, 2), "rmse": round(math.sqrt(mse), 2), "psnr": round(psnr, 2), "changed_ratio": round(float((d > 8).mean()), 4), "mse_true": round(float((d * d).mean()), 2)}
+
+
+#: Colours of box outlines, by turns.
+BOX_COLORS = [(255, 82, 82), (33, 150, 243), (255, 193, 7), (76, 175, 80), (156, 39, 176), (0, 188, 212), (255, 87, 34), (139, 195, 74)]
+
+
+def draw_boxes(a: np.ndarray, boxes: list[dict]) -> np.ndarray:
+    """Outlines as wide as a two-hundredth of the shorter side, two at least, inwards. Labels are data, not drawn."""
+    out, wide = a.copy(), max(2, min(a.shape[:2]) // 200)
+    for i, b in enumerate(boxes):
+        for k in range(wide):
+            out = mark(out, [(b["x"] + k, b["y"] + k, b["w"] - 2 * k, b["h"] - 2 * k)], BOX_COLORS[i % len(BOX_COLORS)]) if min(b["w"], b["h"]) >= 2 * k else out
+    return out
+
+
 def mark(a: np.ndarray, boxes: list, color=(255, 64, 64)) -> np.ndarray:
     """Box outlines drawn over a copy."""
     out = a.copy()
@@ -566,6 +701,7 @@ def _cyber(a):
     return blend(base, np.stack([e, e // 2, e], 2), 0.35)
 
 
+#: Each style's means, deviations, factors and strengths.
 STYLES = {
     "oil": ("thick warm strokes", lambda a: saturation_factor(_over_emboss(gaussian(transfer(a, (150, 120, 80), (60, 55, 45)), 1), 0.35), 1.25)),
     "watercolor": ("soft pale washes", lambda a: posterize(clip8(gaussian(transfer(a, (210, 215, 225), (45, 45, 50)), 1.6) * 1.08), 6)),

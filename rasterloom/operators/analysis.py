@@ -7,8 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import label_components
-from ..functions.pixels import BANDS, luma
+from ..functions import kernels
+from ..functions.pixels import BANDS, color_name, luma
+from ..sources.rasters import PACKED, image_array
+
 
 def per_image():
     return Window.partitionBy("image_id")
@@ -47,7 +49,7 @@ def threshold_coverage(px: DataFrame) -> DataFrame:
 
 
 def diff_metrics(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Of images of equal sizes. ``mse`` is the mean absolute gray difference, as the metric is defined here; ``mse_true`` its square's mean."""
+    """Of images of equal sizes; :func:`aligned` makes them so. ``mse`` is the mean absolute gray difference, as the metric is defined here; ``mse_true`` its square's mean."""
     other = b.select("image_id", "y", "x", *(F.col(c).alias(f"__{c}") for c in BANDS))
     d = a.join(other, ["image_id", "y", "x"]).withColumns({c: F.abs(F.col(c) - F.col(f"__{c}")) for c in BANDS})
     m = d.select("image_id", luma().alias("d")).groupBy("image_id").agg(F.avg("d").alias("m"), F.avg(F.col("d") * F.col("d")).alias("sq"), F.avg((F.col("d") > 8).cast("double")).alias("changed"))
@@ -56,6 +58,19 @@ def diff_metrics(a: DataFrame, b: DataFrame) -> DataFrame:
     return m.select("image_id", F.round("m", 2).alias("mse"), F.round(rmse, 2).alias("rmse"), F.round(psnr, 2).alias("psnr"), F.round("changed", 4).alias("changed_ratio"), F.round("sq", 2).alias("mse_true"))
 
 
+def aligned(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Packed images ``a`` scaled to the sizes of the packed images ``b`` of the same ids, by Lanczos. Images without a counterpart fall out."""
+    both = a.join(b.select("image_id", F.col("w").alias("to_w"), F.col("h").alias("to_h")), "image_id")
+
+    def run(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                out = kernels.resample(np.frombuffer(r.data, np.uint8).reshape(r.h, r.w, 3), r.to_w, r.to_h, "lanczos")
+                yield pd.DataFrame({"image_id": [r.image_id], "w": [r.to_w], "h": [r.to_h], "data": [np.ascontiguousarray(out, np.uint8).tobytes()]})
+
+    return both.mapInPandas(run, PACKED)
+
+
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     other = b.select("image_id", "y", "x", *(F.col(c).alias(f"__{c}") for c in BANDS))
     return a.join(other, ["image_id", "y", "x"]).withColumns({c: F.abs(F.col(c) - F.col(f"__{c}")) for c in BANDS}).drop(*(f"__{c}" for c in BANDS))
@@ -75,7 +90,7 @@ def connected_components(gray: DataFrame, threshold: int | None = None, value: s
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         grid = np.zeros((int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1), bool)
         grid[pdf["y"].to_numpy(), pdf["x"].to_numpy()] = pdf["on"].to_numpy()
-        labels = label_components(grid)
+        labels = kernels.label_components(grid)
         y, x = np.nonzero(labels)
         return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "y": y.astype(np.int32), "x": x.astype(np.int32), "label": labels[y, x].astype(np.int32)})
 
@@ -87,15 +102,35 @@ def boxes(labels: DataFrame) -> DataFrame:
     return labels.groupBy("image_id", "label").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"), F.count("*").alias("area"))
 
 
-def region_stats(labels: DataFrame, px: DataFrame) -> DataFrame:
-    """Regions by falling area: coverage, box [x, y, w, h], mean color of the box."""
-    size = px.groupBy("image_id").agg(F.count("*").alias("pixels"))
-    b = boxes(labels).join(size, "image_id")
-    inside = (F.col("x") >= F.col("x0")) & (F.col("x") <= F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") <= F.col("y1"))
-    colors = b.join(px, "image_id").where(inside).groupBy("image_id", "label").agg(*(F.floor(F.avg(c)).cast("int").alias(f"mean_{c}") for c in BANDS))
-    out = b.join(colors, ["image_id", "label"])
+MEASURED = "image_id long, label int, area long, x0 int, y0 int, x1 int, y1 int, total long, w int, h int, t int, " + ", ".join(f"{k}_{c} int" for k in ("in", "to") for c in BANDS)
+
+
+def measured_regions(px: DataFrame, threshold: int | None = None, value: str = "v") -> DataFrame:
+    """One row per 4-connected region of ``px(image_id, y, x, r, g, b, v)`` at or above the threshold (Otsu's where None):
+    area, inclusive box, the sum of its values, the image's size, the threshold, and the box's mean color with its last
+    row and column (``in_``) and without (``to_``, null where nothing is left). Labels and measures come from one pass over an image."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = np.zeros((int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1), np.int64)
+        v[pdf["y"].to_numpy(), pdf["x"].to_numpy()] = pdf[value].to_numpy()
+        a = image_array(pdf)
+        cut = kernels.otsu(v) if threshold is None else int(threshold)
+        m = kernels.measured(kernels.label_components(v >= cut), v)
+        n, rows = len(m["area"]), []
+        for x0, y0, x1, y1 in zip(m["x0"], m["y0"], m["x1"], m["y1"]):
+            rows.append([*kernels.box_color(a[y0 : y1 + 1, x0 : x1 + 1]), *(kernels.box_color(a[y0:y1, x0:x1]) if x1 > x0 and y1 > y0 else [None] * 3)])
+        colors = pd.DataFrame(rows, columns=[f"{k}_{c}" for k in ("in", "to") for c in BANDS], dtype="Int32")
+        first = {"image_id": np.full(n, pdf["image_id"].iloc[0]), "label": np.arange(1, n + 1), **{c: m[c] for c in ("area", "x0", "y0", "x1", "y1")}, "total": m["sum"], "w": np.full(n, v.shape[1]), "h": np.full(n, v.shape[0]), "t": np.full(n, cut)}
+        return pd.concat([pd.DataFrame(first), colors], axis=1)
+
+    return px.groupBy("image_id").applyInPandas(run, MEASURED)
+
+
+def region_stats(regions: DataFrame) -> DataFrame:
+    """:func:`measured_regions` by falling area: coverage, box [x, y, w, h] (as wide as its last place is from its first), mean color of the box."""
     rank = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("area"), "label"))
-    return out.select("image_id", rank.alias("id"), "label", "area", F.round(F.col("area") / F.col("pixels"), 4).alias("coverage"), F.col("x0").alias("x"), F.col("y0").alias("y"), (F.col("x1") - F.col("x0") + 1).alias("w"), (F.col("y1") - F.col("y0") + 1).alias("h"), *(f"mean_{c}" for c in BANDS))
+    whole = F.col("w") * F.col("h")
+    return regions.select("image_id", rank.alias("id"), "label", "area", F.round(F.col("area") / whole, 4).alias("coverage"), F.col("x0").alias("x"), F.col("y0").alias("y"), (F.col("x1") - F.col("x0")).alias("w"), (F.col("y1") - F.col("y0")).alias("h"), *(F.col(f"in_{c}").alias(f"mean_{c}") for c in BANDS))
 
 
 def iou(a: str = "a", b: str = "b"):
@@ -120,16 +155,15 @@ def nms(candidates: DataFrame, overlap: float = 0.5) -> DataFrame:
     return out.select("image_id", (F.col("rank") + 1).alias("rank"), F.col("k.label").alias("label"), (-F.col("k.low")).alias("score"), "k.x", "k.y", "k.w", "k.h")
 
 
-def detect(maps: DataFrame, threshold: int | None = None, min_size: float = 0.02, max_boxes: int = 20, overlap: float = 0.5) -> DataFrame:
-    """Boxes of a saliency map ``(image_id, y, x, v)``: threshold (Otsu's where None), components, those of enough box area,
-    scored by mean saliency, suppressed, the best ``max_boxes``, scores as shares of the best."""
-    if threshold is None:
-        maps = maps.join(otsu(maps), "image_id")
-    labels = connected_components(maps, threshold)
-    size = maps.groupBy("image_id").agg((F.max("x") + 1).alias("W"), (F.max("y") + 1).alias("H"))
-    scored = labels.join(maps.select("image_id", "y", "x", "v"), ["image_id", "y", "x"])
-    found = scored.groupBy("image_id", "label").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"), F.avg("v").alias("score"))
-    found = found.join(size, "image_id").where((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) >= F.col("W") * F.col("H") * (min_size * min_size * 0.25))
-    found = found.select("image_id", "label", "score", F.col("x0").alias("x"), F.col("y0").alias("y"), (F.col("x1") - F.col("x0")).alias("w"), (F.col("y1") - F.col("y0")).alias("h"))
+def detect(regions: DataFrame, ratio: float = 1.0, min_size: float = 0.02, max_boxes: int = 20, overlap: float = 0.5) -> DataFrame:
+    """Boxes of :func:`measured_regions` of a saliency map: those of enough box area, scored by mean saliency, suppressed, the best
+    ``max_boxes``, scores as shares of the best, with the name of their mean color, on coordinates ``ratio`` times the map's."""
+    found = regions.where((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) >= F.col("w") * F.col("h") * (min_size * min_size * 0.25))
+    colors = found.select("image_id", "label", F.col("t").alias("threshold_used"), *(F.col(f"to_{c}").alias(c) for c in BANDS))
+    found = found.select("image_id", "label", (F.col("total") / F.col("area")).alias("score"), F.col("x0").alias("x"), F.col("y0").alias("y"), (F.col("x1") - F.col("x0")).alias("w"), (F.col("y1") - F.col("y0")).alias("h"))
     kept = nms(found, overlap).where(F.col("rank") <= max_boxes)
-    return kept.withColumn("score", F.round(F.col("score") / F.max("score").over(per_image()), 4))
+    best = F.max("score").over(per_image())
+    share = F.least(F.lit(1.0), F.col("score") / F.when(best == 0, F.lit(1.0)).otherwise(best))
+    out = kept.withColumn("score", F.round(share, 3)).join(colors, ["image_id", "label"]).withColumn("name", color_name())
+    scaled = (F.bround(F.col(c) * F.lit(float(ratio)), 0).cast("int").alias(c) for c in "xywh")
+    return out.select("image_id", "rank", *scaled, "score", F.col("name").alias("label"), *(F.col(c).alias(f"mean_{c}") for c in BANDS), "threshold_used")

@@ -20,10 +20,10 @@ def nearest_with_ratio(a: DataFrame, b: DataFrame, ratio: float = 0.75, method:
     descriptor's candidates are sorted."""
     distance = hamming if method == "orb" else euclidean
     d = a.join(b.withColumnRenamed("d", "e"), "pair_id").select("pair_id", "a_id", "b_id", distance(F.col("d"), F.col("e")).alias("distance"))
-    w = Window.partitionBy("pair_id", "a_id").orderBy("distance", "b_id")
-    two = d.withColumn("k", F.row_number().over(w)).where(F.col("k") <= 2)
-    best = two.groupBy("pair_id", "a_id").agg(F.min_by("b_id", "k").alias("b_id"), F.min("distance").alias("distance"), F.max(F.when(F.col("k") == 2, F.col("distance"))).alias("second"))
-    return best.where(F.col("second").isNull() | (F.col("distance") < F.col("second") * ratio)).drop("second")
+    best = d.groupBy("pair_id", "a_id").agg(F.min(F.struct("distance", "b_id")).alias("b"), F.count("*").alias("n"), F.min_by("b_id", F.struct("distance", "b_id")).alias("__b"))
+    second = d.join(best.select("pair_id", "a_id", "__b"), ["pair_id", "a_id"]).where("b_id <> __b").groupBy("pair_id", "a_id").agg(F.min("distance").alias("second"))
+    out = best.join(second, ["pair_id", "a_id"], "left").select("pair_id", "a_id", "b.b_id", "b.distance", "second")
+    return out.where(F.col("second").isNull() | (F.col("distance") < F.col("second") * ratio)).drop("second")
 
 
 def one_to_one(matches: DataFrame, most: int = 40) -> DataFrame:

@@ -112,7 +112,9 @@ def heatmap(px: DataFrame) -> DataFrame:
 
 def channel_transfer(px: DataFrame, mean: tuple, std: tuple) -> DataFrame:
     """Each band moved to a mean and a population standard deviation; a flat band keeps its spread."""
-    stats = px.groupBy("image_id").agg(*(F.avg(c).alias(f"__m{c}") for c in BANDS), *(F.stddev_pop(c).alias(f"__s{c}") for c in BANDS))
+    sums = px.groupBy("image_id").agg(F.count("*").alias("n"), *(F.sum(c).alias(f"s{c}") for c in BANDS), *(F.sum(F.col(c) * F.col(c)).alias(f"q{c}") for c in BANDS))
+    spread_of = lambda c: F.sqrt((F.col("n") * F.col(f"q{c}") - F.col(f"s{c}") * F.col(f"s{c}")).cast("double")) / F.col("n")
+    stats = sums.select("image_id", *((F.col(f"s{c}") / F.col("n")).alias(f"__m{c}") for c in BANDS), *(spread_of(c).alias(f"__s{c}") for c in BANDS))
     px = px.join(stats, "image_id")
     spread = lambda c: F.when(F.col(f"__s{c}") < 1e-6, F.lit(1.0)).otherwise(F.col(f"__s{c}"))
     out = {c: clip((F.col(c) - F.col(f"__m{c}")) * F.lit(float(s)) / spread(c) + F.lit(float(m))) for c, m, s in zip(BANDS, mean, std)}
@@ -129,19 +131,22 @@ def vignette(px: DataFrame, strength: float = 0.5) -> DataFrame:
 
 
 def equalize(px: DataFrame, mode: str = "luminance") -> DataFrame:
-    """Histogram equalisation of each band (both modes alike): a table of at most 256 rows per image and band, joined back."""
-    for c in BANDS:
-        hist = px.groupBy("image_id", F.col(c).alias("__k")).agg(F.count("*").alias("n"))
-        run = Window.partitionBy("image_id").orderBy("__k")
-        image = Window.partitionBy("image_id")
-        before = F.coalesce(F.sum("n").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        last = F.max_by("n", "__k").over(image)
-        step = F.floor((F.sum("n").over(image) - last) / 255)
-        table = hist.select("image_id", "__k", before.alias("before"), step.alias("step"))
-        value = F.when(F.col("step") == 0, F.col("__k")).otherwise(F.least(F.lit(255), F.floor((F.floor(F.col("step") / 2) + F.col("before")) / F.col("step"))))
-        table = table.select("image_id", "__k", value.cast("int").alias("__e"))
-        px = px.withColumnRenamed(c, "__k").join(table, ["image_id", "__k"]).withColumnRenamed("__e", c).drop("__k")
-    return px.select("image_id", "y", "x", *BANDS)
+    """Histogram equalisation of each band (both modes alike): one histogram of all bands, a table of 256 values for each band of an image, one join by image."""
+    stacked = px.select("image_id", F.posexplode(F.array(*BANDS)).alias("band", "v"))
+    hist = stacked.groupBy("image_id", "band", "v").agg(F.count("*").alias("n"))
+    counts = hist.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct((F.col("band") * 256 + F.col("v")).alias("k"), "n"))).alias("h"))
+    full = lambda band: F.transform(F.sequence(F.lit(0), F.lit(255)), lambda v: F.coalesce(F.element_at("h", F.lit(256 * band) + v), F.lit(0)))
+
+    def table(h):
+        """[sum so far, next places]: one fold over the counts."""
+        last = F.element_at(F.filter(h, lambda n: n > 0), -1)
+        step = F.floor((F.aggregate(h, F.lit(0).cast("long"), lambda s, n: s + n) - last) / 255)
+        start = F.struct(F.lit(0).cast("long").alias("before"), F.array().cast("array<int>").alias("t"))
+        place = lambda s: F.when(step == 0, F.size(s["t"])).otherwise(F.least(F.lit(255), F.floor((F.floor(step / 2) + s["before"]) / step))).cast("int")
+        return F.aggregate(h, start, lambda s, n: F.struct((s["before"] + n).alias("before"), F.array_append(s["t"], place(s)).alias("t")))["t"]
+
+    tables = counts.select("image_id", *(full(i).alias(f"__h{c}") for i, c in enumerate(BANDS))).select("image_id", *(table(F.col(f"__h{c}")).alias(f"__t{c}") for c in BANDS))
+    return px.join(tables, "image_id").select("image_id", "y", "x", *(F.element_at(f"__t{c}", F.col(c) + 1).alias(c) for c in BANDS))
 
 
 def ensure_rgb(rgba: DataFrame) -> DataFrame:

@@ -51,13 +51,13 @@ def _keypoints(a, method, max_points):
     found = k.keypoints(a, method, int(max_points))
     points = [{key: v for key, v in p.items() if key != "descriptor"} for p in found]
     meta = {"method": method, "count": len(points), "descriptor_dim": 128 if method == "sift" else 256, "sample_descriptor": found[0]["descriptor"] if found else [], "keypoints": points}
-    return k.mark(a, [(p["x"] - 2, p["y"] - 2, 4, 4) for p in points]), meta
+    return k.draw_keypoints(a, points, method), meta
 
 
 def _detect(a, method, auto, threshold, max_boxes):
     """The node takes its threshold whatever ``auto`` says; the analysis entry point honours it."""
-    found = k.detect(a, method, threshold, max_boxes)
-    return k.mark(a, [b["box"] for b in found]), {"method": method, "count": len(found), "boxes": found}
+    found, used = k.detect(a, method, threshold, max_boxes)
+    return k.draw_boxes(a, found), {"method": method, "threshold_used": used, "count": len(found), "boxes": found}
 
 
 def _segment(a, method, value, block, colors, alpha):
@@ -73,6 +73,7 @@ def _node(type_, label, category, run, *schema):
     return Node(type_, label, category, run, schema, defaults={p.name: p.default for p in schema})
 
 
+#: Types, categories, and the names, ranges, options and defaults of parameters are the graphs' contract.
 NODES: dict[str, Node] = {
     n.type: n
     for n in (
