@@ -65,6 +65,22 @@ def without(df: DataFrame, ids: DataFrame, on: str = "id") -> DataFrame:
     return df.join(ids.select(on), on, "left_anti")
 
 
+def pick(df: DataFrame, ids: DataFrame, on: str = "id") -> DataFrame:
+    """The rows that ``ids`` name."""
+    return df.join(ids.select(on).distinct(), on, "left_semi")
+
+
+def listing(df: DataFrame, newest_by: str, tie: str) -> DataFrame:
+    """Newest first."""
+    return df.orderBy(F.desc(newest_by), F.desc(tie))
+
+
+def orphan_files(files: DataFrame, records: DataFrame, on: str = "id") -> DataFrame:
+    """Files that no record knows, and that are no temporary ones: what a cleaning removes."""
+    known = files.join(records.select(on), on, "left_anti")
+    return known.where(~F.col("name").startswith(".tmp-")) if "name" in files.columns else known
+
+
 def reconcile(records: DataFrame, files: DataFrame, on: str = "id") -> DataFrame:
     """(id, kind): records without a file and files without a record, both directions in one full join."""
     r = records.select(on).distinct().withColumn("__r", F.lit(True))
@@ -122,9 +138,43 @@ def with_versions(updates: DataFrame, keep: int = VERSIONS) -> DataFrame:
     return out.where(F.col("__back") <= keep + 1).withColumn("is_current", F.col("__back") == 1).drop("__back")
 
 
+def delete_history(history: DataFrame, results: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """History without ``ids``, and results without those that the entries link to, shared or not."""
+    linked = pick(history, ids).where("result_id IS NOT NULL").select("result_id").distinct()
+    return without(history, ids), without(results, linked, "result_id")
+
+
+def record_history(runs: DataFrame, name: Column, node_count: Column) -> DataFrame:
+    """History entries of ``runs(image_id, result_id, cache_hit, error, began, ended, …)``, seconds as milliseconds."""
+    status = F.when(F.col("error").isNull(), "ok").otherwise("error")
+    added = {"pipeline_name": name, "node_count": node_count, "status": status, "duration_ms": F.floor((F.col("ended") - F.col("began")) * 1000).cast("long")}
+    return runs.withColumns(added).drop("began", "ended")
+
+
+def with_scope(presets: DataFrame) -> DataFrame:
+    return presets.withColumn("scope", F.coalesce("scope", F.lit("filter")))
+
+
+def add_presets(presets: DataFrame, new: DataFrame) -> DataFrame:
+    """New ones before the others; without a scope they are for filters."""
+    return with_scope(new).unionByName(presets)
+
+
+def update_preset(presets: DataFrame, changes: DataFrame) -> DataFrame:
+    """``changes(id, name, params)``: null leaves a field as it is."""
+    new = changes.select("id", F.col("name").alias("__name"), F.col("params").alias("__params"))
+    return presets.join(new, "id", "left").withColumns({"name": F.coalesce("__name", "name"), "params": F.coalesce("__params", "params")}).drop("__name", "__params")
+
+
+def restored(history: DataFrame, new_id: Column, now: Column) -> DataFrame:
+    """A first-version pipeline from each entry's snapshot, taken to be valid."""
+    name = F.concat(F.lit("restored: "), F.coalesce("pipeline_name", F.lit("history")))
+    return history.select(new_id.alias("id"), name.alias("name"), F.col("pipeline_snapshot").alias("nodes"), F.lit(1).alias("version"), F.lit(True).alias("valid"), now.alias("created_at"), now.alias("updated_at"))
+
+
 def restore(history: DataFrame, entry_id: str, new_id: Column, now: Column) -> DataFrame:
-    """A first-version pipeline from a history entry's snapshot, taken to be valid."""
-    return history.where(F.col("id") == entry_id).select(new_id.alias("id"), F.col("pipeline_name").alias("name"), F.col("pipeline_snapshot").alias("nodes"), F.lit(1).alias("version"), F.lit(True).alias("valid"), now.alias("created_at"), now.alias("updated_at"))
+    """:func:`restored` of one entry."""
+    return restored(history.where(F.col("id") == entry_id), new_id, now)
 
 
 def health(**tables: DataFrame) -> DataFrame:
@@ -147,6 +197,17 @@ def job_state(results: DataFrame) -> DataFrame:
     return out.withColumns({"progress": F.floor(F.col("done") * 100.0 / F.col("total") + 0.5).cast("int"), "status": state})
 
 
+def queued(jobs: DataFrame) -> DataFrame:
+    """New jobs of ``jobs(id, image_ids, created_at, …)``; an image counts once."""
+    images = F.array_distinct("image_ids")
+    return jobs.withColumns({"image_ids": images, "total": F.size(images), "done": F.lit(0), "status": F.lit("queued")})
+
+
+def enqueue(jobs: DataFrame, new: DataFrame, keep: int = JOBS) -> DataFrame:
+    """The newest ``keep`` of all jobs, the new ones queued."""
+    return newest(jobs.unionByName(queued(new), allowMissingColumns=True), [F.desc("created_at"), F.desc("id")], keep)
+
+
 def cancel(jobs: DataFrame, ids: DataFrame) -> DataFrame:
     """Queued and running jobs of ``ids(id)`` become cancelled, and stay so."""
     hit = ids.select("id", F.lit(True).alias("__hit"))

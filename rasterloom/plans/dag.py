@@ -14,6 +14,7 @@ from collections import deque
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import geometry, points, stencils
 from .nodes import CATEGORIES, NODES, run_node, with_defaults
@@ -94,6 +95,16 @@ def catalogue() -> list[dict]:
     ]
 
 
+def checked(pipelines: DataFrame) -> DataFrame:
+    """``pipelines(id, name, nodes)``, nodes as JSON, with version 1, their errors and whether they are valid; invalid ones stay."""
+
+    @F.pandas_udf("string")
+    def errors(nodes: pd.Series) -> pd.Series:
+        return nodes.map(lambda x: "; ".join(validate(json.loads(x) if x else [])))
+
+    return pipelines.withColumns({"errors": errors("nodes"), "version": F.lit(1)}).withColumn("valid", F.col("errors") == "")
+
+
 #: Nodes that undo themselves when they follow each other with the same parameters.
 INVOLUTIONS = {"invert", "flip"}
 
@@ -124,7 +135,7 @@ def run_graph(a: np.ndarray, nodes: list[dict]) -> tuple[np.ndarray, dict, list[
             results.append({"node_id": i, "type": n["type"], "ok": True, "error": None})
         except Exception as e:  # noqa: BLE001 - an error is data here
             packets[i] = (image, meta)
-            results.append({"node_id": i, "type": n["type"], "ok": False, "error": str(e)})
+            results.append({"node_id": i, "type": n["type"], "ok": False, "error": f"{type(e).__name__}: {e}"})
     image, meta = packets[output_node(nodes)] if nodes else (a, {})
     return image, meta, results
 
