@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import kernels
-from .functions.pixels import BANDS, PALETTES, color_name, human_bytes, luma, palette_table
+from .functions.pixels import BANDS, PALETTES, color_name, human_bytes, luma
 from .operators import analysis, catalog, geometry, matching, points, stencils
 from .plans import dag
-from .sources.rasters import HEIGHT, WIDTH, gradient_images, image_array, pack, vector_images
+from .sources.rasters import HEIGHT, LARGE, WIDTH, fit, gradient_images, image_array, packed_gradients, packed_map, vector_images
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -71,9 +71,16 @@ pixel_query("threshold_adaptive", lambda px: points.threshold(px, "adaptive"), b
 pixel_query("color_balance", lambda px: points.color_balance(px, 25, -50, 10), f"WITH {PX} SELECT image_id, y, x, {clipped('r * 1.25::DOUBLE')} AS r, {clipped('g * 0.5::DOUBLE')} AS g, {clipped('b * 1.1::DOUBLE')} AS b FROM lx")
 pixel_query("posterize", lambda px: points.posterize(px, 3), bands("{v} - {v} % 32"))
 pixel_query("solarize", lambda px: points.solarize(px, 100), bands("CASE WHEN {v} < 100 THEN {v} ELSE 255 - {v} END"))
-for _name in PALETTES:
-    _t = palette_table(_name)
-    pixel_query(f"false_color_{_name}", lambda px, n=_name: points.false_color(px, n), f"WITH {PX} SELECT image_id, y, x, " + ", ".join(f"{array_sql(t[k] for t in _t)}[l + 1]::INT AS {c}" for k, c in enumerate(BANDS)) + " FROM lx")
+
+
+def stops_sql(stops, k: int) -> str:
+    """Band ``k`` of a palette at brightness t, linear between its stops."""
+    parts = [f"WHEN t < {q}::DOUBLE THEN floor({c[k]} + ({d[k] - c[k]}) * ((t - {p}::DOUBLE) / ({q}::DOUBLE - {p}::DOUBLE)))" for (p, c), (q, d) in zip(stops, stops[1:])]
+    return f"(CASE {' '.join(parts)} ELSE {stops[-1][1][k]} END)::INT"
+
+
+for _name, _stops in PALETTES.items():
+    pixel_query(f"false_color_{_name}", lambda px, n=_name: points.false_color(px, n), f"WITH {PX}, t AS (SELECT *, l / 255.0::DOUBLE AS t FROM lx) SELECT image_id, y, x, " + ", ".join(f"{stops_sql(_stops, k)} AS {c}" for k, c in enumerate(BANDS)) + " FROM t")
 pixel_query("sepia", lambda px: points.sepia(px, 0.9), f"WITH {PX} SELECT image_id, y, x, " + ", ".join(f"{clipped(f'l * ({k}::DOUBLE * 0.9::DOUBLE)')} AS {c}" for c, k in zip(BANDS, (1.12, 0.95, 0.72))) + " FROM lx")
 _SEED = "((image_id * 1000003 + y * 99991 + x * 7919 + 12345) % 1000000007 * 48271) % 2147483647"
 pixel_query("noise_saltpepper", lambda px: points.noise(px, "saltpepper", 60), f"WITH {PX}, d AS (SELECT *, {_SEED} AS d FROM px) SELECT image_id, y, x, " + ", ".join(f"(CASE WHEN d % 100000 < 3000 THEN (CASE WHEN (d // 100000) % 2 = 0 THEN 255 ELSE 0 END) ELSE {c} END)::INT AS {c}" for c in BANDS) + " FROM d")
@@ -90,7 +97,8 @@ t{c} AS (SELECT image_id, v, coalesce(sum(n) OVER (PARTITION BY image_id ORDER B
   ((sum(n) OVER (PARTITION BY image_id) - last_value(n) OVER (PARTITION BY image_id ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) // 255)::BIGINT AS step FROM h{c}),
 e{c} AS (SELECT image_id, v AS {c}, (CASE WHEN step = 0 THEN v ELSE least(255, (step // 2 + before) // step) END)::INT AS n{c} FROM t{c})""" for c in BANDS)
     + " SELECT image_id, y, x, nr AS r, ng AS g, nb AS b FROM px JOIN er USING (image_id, r) JOIN eg USING (image_id, g) JOIN eb USING (image_id, b)")
-pixel_query("style_channel_transfer", lambda px: points.channel_transfer(px, (150, 120, 80), (60, 55, 45)))
+pixel_query("style_channel_transfer", lambda px: points.channel_transfer(px, (150, 120, 80), (60, 55, 45)), f"""WITH {PX}, st AS (SELECT image_id, count(*)::BIGINT AS n, """ + ", ".join(f"sum({c})::BIGINT AS s{c}, sum({c} * {c})::BIGINT AS q{c}" for c in BANDS) + """ FROM px GROUP BY image_id),
+dv AS (SELECT image_id, """ + ", ".join(f"s{c}::DOUBLE / n AS m{c}, sqrt((n * q{c} - s{c} * s{c})::DOUBLE) / n AS d{c}" for c in BANDS) + """ FROM st) SELECT image_id, y, x, """ + ", ".join(clipped(f"({c} - m{c}) * {t}.0::DOUBLE / (CASE WHEN d{c} < 1e-6 THEN 1.0 ELSE d{c} END) + {m}.0::DOUBLE") + f" AS {c}" for c, m, t in zip(BANDS, (150, 120, 80), (60, 55, 45))) + " FROM px JOIN dv USING (image_id)")
 
 # Geometry
 
@@ -98,7 +106,7 @@ pixel_query("flip_horizontal", geometry.flip, f"WITH {PX} SELECT image_id, y, ({
 pixel_query("flip_vertical", lambda px: geometry.flip(px, "vertical"), f"WITH {PX} SELECT image_id, ({HEIGHT} - 1 - y)::INT AS y, x, r, g, b FROM px")
 pixel_query("rotate_90", geometry.rotate90, f"WITH {PX} SELECT image_id, ({WIDTH} - 1 - x)::INT AS y, y AS x, r, g, b FROM px")
 pixel_query("rotate_180", lambda px: geometry.rotate90(px, 2), f"WITH {PX} SELECT image_id, ({HEIGHT} - 1 - y)::INT AS y, ({WIDTH} - 1 - x)::INT AS x, r, g, b FROM px")
-pixel_query("crop", lambda px: geometry.crop(px, 0.1, 0.2, 0.75, 0.9), f"WITH {PX} SELECT image_id, (y - 2)::INT AS y, (x - 2)::INT AS x, r, g, b FROM px WHERE x >= 2 AND x < 12 AND y >= 2 AND y < 11")
+pixel_query("crop", lambda px: geometry.crop(px, 0.1, 0.2, 0.75, 0.9), f"WITH {PX} SELECT image_id, (y - 10)::INT AS y, (x - 6)::INT AS x, r, g, b FROM px WHERE x >= 6 AND x < 48 AND y >= 10 AND y < 43")
 pixel_query("crop_degenerate", lambda px: geometry.crop(px, 0.6, 0, 0.4, 1), bands("{v}"))
 pixel_query("border", lambda px: geometry.border(px, 2, "#0a1e28"), f"""WITH {PX}, f AS (SELECT i.vec_id AS image_id, y.y::INT AS y, x.x::INT AS x FROM embeddings i, (SELECT unnest(range({HEIGHT + 4})) AS y) y, (SELECT unnest(range({WIDTH + 4})) AS x) x)
 SELECT f.image_id, f.y, f.x, coalesce(px.r, 10)::INT AS r, coalesce(px.g, 30)::INT AS g, coalesce(px.b, 40)::INT AS b FROM f LEFT JOIN px ON px.image_id = f.image_id AND px.y = f.y - 2 AND px.x = f.x - 2""")
@@ -184,8 +192,9 @@ def box_sql(source: str, v: str, place: str, other: str, last: int, radius: int,
 _BOX = f"WITH {PX}, " + ", ".join(f"a{c} AS ({box_sql('px' if c == 'r' else f'b{BANDS[BANDS.index(c) - 1]}', c, 'x', 'y', WIDTH - 1, 2, f'h{c}')}), b{c} AS ({box_sql(f'a{c}', f'h{c}', 'y', 'x', HEIGHT - 1, 2, f'o_{c}')})" for c in BANDS)
 pixel_query("blur_box", lambda px: stencils.box_blur(px, 2), _BOX + " SELECT image_id, y, x, o_r AS r, o_g AS g, o_b AS b FROM bb")
 SOBEL_MAG = f"WITH {PX}, nb AS ({around('lx', 'l')}), mg AS (SELECT image_id, y, x, {magnitude_sql('sobel')} AS mag FROM nb)"
-MAXIMA = f"""{SOBEL_MAG}, pk AS (SELECT p.*, max(q.mag) AS top FROM mg p JOIN mg q ON q.image_id = p.image_id AND abs(q.x - p.x) <= 3 AND abs(q.y - p.y) <= 3
-  WHERE p.mag >= 40 AND p.x BETWEEN 3 AND {WIDTH - 4} AND p.y BETWEEN 3 AND {HEIGHT - 4} GROUP BY ALL)"""
+MAXIMA = f"""{SOBEL_MAG}, mr AS (SELECT *, max(mag) OVER (PARTITION BY image_id, y ORDER BY x ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS mr FROM mg),
+mc AS (SELECT *, max(mr) OVER (PARTITION BY image_id, x ORDER BY y ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS top FROM mr),
+pk AS (SELECT image_id, y, x, mag, top FROM mc WHERE mag >= 40 AND x BETWEEN 3 AND {WIDTH - 4} AND y BETWEEN 3 AND {HEIGHT - 4})"""
 
 
 @query("local_maxima", f"{MAXIMA} SELECT image_id, y, x, mag, row_number() OVER (PARTITION BY image_id ORDER BY mag DESC, y, x)::INT AS rank FROM pk WHERE mag = top")
@@ -197,9 +206,9 @@ def local_maxima(spark, d):
 @query("keypoints", f"""{MAXIMA}, gd AS (SELECT image_id, y, x, CASE WHEN x BETWEEN 1 AND {WIDTH - 2} AND y BETWEEN 1 AND {HEIGHT - 2} THEN lead(mag) OVER rw - lag(mag) OVER rw ELSE 0 END AS gx,
   CASE WHEN x BETWEEN 1 AND {WIDTH - 2} AND y BETWEEN 1 AND {HEIGHT - 2} THEN lead(mag) OVER cl - lag(mag) OVER cl ELSE 0 END AS gy FROM mg WINDOW rw AS (PARTITION BY image_id, y ORDER BY x), cl AS (PARTITION BY image_id, x ORDER BY y)),
 kp AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY mag DESC, y, x) AS k FROM pk WHERE mag = top)
-SELECT k.image_id, k.x, k.y, 4.0::DOUBLE AS size, round(atan2(sum(g.gy)::DOUBLE, sum(g.gx)::DOUBLE), 6) + 0.0 AS angle, k.mag AS response FROM kp k JOIN gd g ON g.image_id = k.image_id AND abs(g.x - k.x) <= 6 AND abs(g.y - k.y) <= 6 WHERE k.k <= 5 GROUP BY k.image_id, k.x, k.y, k.mag""")
+SELECT k.image_id, k.x, k.y, 4.0::DOUBLE AS size, round(atan2(sum(g.gy)::DOUBLE, sum(g.gx)::DOUBLE), 6) + 0.0 AS angle, k.mag AS response FROM kp k JOIN gd g ON g.image_id = k.image_id AND abs(g.x - k.x) <= 6 AND abs(g.y - k.y) <= 6 WHERE k.k <= 120 GROUP BY k.image_id, k.x, k.y, k.mag""")
 def keypoints(spark, d):
-    return stencils.keypoints(gradient_images(spark, d), 5).withColumn("angle", F.round("angle", 6) + 0.0)
+    return stencils.keypoints(gradient_images(spark, d)).withColumn("angle", F.round("angle", 6) + 0.0)
 
 
 # Statistics, segmentation, detection
@@ -264,24 +273,44 @@ def component_boxes(spark, d):
     return analysis.boxes(analysis.connected_components(vector_images(spark, d), 135))
 
 
-def _gray_px(spark, d):
-    return vector_images(spark, d).select("image_id", "y", "x", *(F.col("v").alias(c) for c in BANDS))
+def _vector_px(spark, d):
+    """Coloured 8 by 8 images, their gray value as the map."""
+    v = F.col("v")
+    return vector_images(spark, d).select("image_id", "y", "x", v.alias("r"), (255 - v).alias("g"), (v * 7 % 256).alias("b"), "v")
+
+
+COLORED = "cx AS (SELECT image_id, y, x, v AS r, (255 - v) AS g, (v * 7) % 256 AS b FROM vx)"
+
 
+def box_color_sql(edge: int, name: str) -> str:
+    """Mean color of the boxes, ``edge`` 1 with their last row and column, 0 without: triangle weights along rows, rounded, then along the column."""
+    weight = lambda p: f"(2 * ({p}1 - {p}0 + {edge}) - abs(2 * ({p} - {p}0) + 1 - ({p}1 - {p}0 + {edge})))"
+    inside = f"p.x BETWEEN b.x0 AND b.x1 - {1 - edge} AND p.y BETWEEN b.y0 AND b.y1 - {1 - edge}"
+    mean = lambda v, p: f"(2 * sum({weight(p)} * {v}) + sum({weight(p)})) // (2 * sum({weight(p)}))"
+    rows = ", ".join(f"{mean(f'p.{c}', 'x')} AS {c}" for c in BANDS)
+    return f"""{name}r AS (SELECT b.image_id, b.label, p.y, b.y0, b.y1, {rows} FROM bx b JOIN cx p ON p.image_id = b.image_id AND {inside} GROUP BY ALL),
+{name} AS (SELECT image_id, label, {", ".join(f"({mean(c, 'y')})::INT AS {c}" for c in BANDS)} FROM {name}r GROUP BY image_id, label)"""
 
-@query("region_stats", f"""{COMPONENTS}, {BOXES}, mc AS (SELECT b.image_id, b.label, floor(avg(v))::INT AS mean FROM bx b JOIN vx p ON p.image_id = b.image_id AND p.x BETWEEN b.x0 AND b.x1 AND p.y BETWEEN b.y0 AND b.y1 GROUP BY ALL)
-SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY area DESC, label)::INT AS id, label, area::BIGINT AS area, round(area / 64.0::DOUBLE, 4) AS coverage, x0 AS x, y0 AS y, (x1 - x0 + 1)::INT AS w, (y1 - y0 + 1)::INT AS h, mean AS mean_r, mean AS mean_g, mean AS mean_b FROM bx JOIN mc USING (image_id, label)""")
+
+@query("region_stats", f"""{COMPONENTS}, {BOXES}, {COLORED}, {box_color_sql(1, "mc")}
+SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY area DESC, label)::INT AS id, label, area::BIGINT AS area, round(area / 64.0::DOUBLE, 4) AS coverage, x0 AS x, y0 AS y, (x1 - x0)::INT AS w, (y1 - y0)::INT AS h, r AS mean_r, g AS mean_g, b AS mean_b FROM bx JOIN mc USING (image_id, label)""")
 def region_stats(spark, d):
-    px = _gray_px(spark, d)
-    return analysis.region_stats(analysis.connected_components(vector_images(spark, d), 135), px)
+    return analysis.region_stats(analysis.measured_regions(_vector_px(spark, d), 135))
+
+
+NAME_SQL = """CASE WHEN s < 0.15 THEN CASE WHEN top > 0.6 THEN 'white' ELSE 'dark' END WHEN hue < 15 THEN 'red' WHEN hue < 45 THEN 'orange' WHEN hue < 70 THEN 'yellow' WHEN hue < 160 THEN 'green' WHEN hue < 200 THEN 'cyan' WHEN hue < 260 THEN 'blue' WHEN hue < 300 THEN 'purple' WHEN hue < 345 THEN 'pink' WHEN hue < 360 THEN 'red' ELSE 'colorful' END"""
 
 
-@query("color_names", f"""WITH {PX}, a AS (SELECT image_id, floor(avg(r))::INT AS r, floor(avg(g))::INT AS g, floor(avg(b))::INT AS b FROM px WHERE y < 2 AND x < 3 GROUP BY image_id),
-f AS (SELECT *, r / 255.0::DOUBLE AS fr, g / 255.0::DOUBLE AS fg, b / 255.0::DOUBLE AS fb FROM a), t AS (SELECT *, greatest(fr, fg, fb) AS top, greatest(fr, fg, fb) - least(fr, fg, fb) AS d FROM f),
-h AS (SELECT *, CASE WHEN d = 0 THEN 0 WHEN top = fr THEN (fg - fb) / d WHEN top = fg THEN 2 + (fb - fr) / d ELSE 4 + (fr - fg) / d END AS q FROM t), u AS (SELECT *, CASE WHEN q < 0 THEN q + 6 ELSE q END * 60 AS hue, CASE WHEN top = 0 THEN 0 ELSE d / top END AS s FROM h)
-SELECT image_id, r, g, b, CASE WHEN s < 0.15 THEN CASE WHEN top > 0.6 THEN 'white' ELSE 'dark' END WHEN hue < 15 THEN 'red' WHEN hue < 45 THEN 'orange' WHEN hue < 70 THEN 'yellow' WHEN hue < 160 THEN 'green' WHEN hue < 200 THEN 'cyan' WHEN hue < 260 THEN 'blue' WHEN hue < 300 THEN 'purple' WHEN hue < 345 THEN 'pink' WHEN hue < 360 THEN 'red' ELSE 'colorful' END AS name FROM u""")
+def hsv_sql(source: str) -> str:
+    """Adds hue, s and top to the rows of ``source``, as the last of some tables that end in ``u``."""
+    return f"""f AS (SELECT *, r / 255.0::DOUBLE AS fr, g / 255.0::DOUBLE AS fg, b / 255.0::DOUBLE AS fb FROM {source}), t AS (SELECT *, greatest(fr, fg, fb) AS top, greatest(fr, fg, fb) - least(fr, fg, fb) AS d FROM f),
+h AS (SELECT *, CASE WHEN d = 0 THEN 0 WHEN top = fr THEN (fg - fb) / d WHEN top = fg THEN 2 + (fb - fr) / d ELSE 4 + (fr - fg) / d END AS q FROM t), u AS (SELECT *, CASE WHEN q < 0 THEN q + 6 ELSE q END * 60 AS hue, CASE WHEN top = 0 THEN 0 ELSE d / top END AS s FROM h)"""
+
+
+@query("color_names", f"WITH {PX}, {hsv_sql('px')}, w AS (SELECT image_id, {NAME_SQL} AS name FROM u) SELECT image_id, name, count(*)::BIGINT AS pixels FROM w GROUP BY ALL")
 def color_names(spark, d):
-    corner = gradient_images(spark, d).where("y < 2 AND x < 3").groupBy("image_id").agg(*(F.floor(F.avg(c)).cast("int").alias(c) for c in BANDS))
-    return corner.withColumn("name", color_name())
+    """Pixels of each name."""
+    return gradient_images(spark, d).select("image_id", color_name().alias("name")).groupBy("image_id", "name").agg(F.count("*").alias("pixels"))
 
 
 CANDIDATES = "cd AS (SELECT o_custkey AS image_id, o_orderkey AS label, (o_orderkey * 7 % 60)::INT AS x, (o_orderkey * 13 % 40)::INT AS y, (10 + o_orderkey * 3 % 25)::INT AS w, (10 + o_orderkey * 5 % 20)::INT AS h, ((o_orderkey * 31) % 1000)::DOUBLE AS score FROM orders)"
@@ -304,19 +333,28 @@ def box_iou(spark, d):
     return pairs.select("image_id", F.col("a.label").alias("label_a"), F.col("b.label").alias("label_b"), F.round(analysis.iou(), 6).alias("iou"))
 
 
-@query("box_nms", f"""WITH RECURSIVE {CANDIDATES}, s AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, label) AS k FROM cd),
+NMS = f"""s AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, label) AS k FROM cd),
 st AS (SELECT image_id, k, [struct_pack(x := x, y := y, w := w, h := h, label := label, score := score)] AS kept FROM s WHERE k = 1
   UNION ALL SELECT t.image_id, s.k, CASE WHEN len(list_filter(t.kept, lambda b: {iou_sql('b', 's')} >= 0.5)) > 0 THEN t.kept ELSE list_append(t.kept, struct_pack(x := s.x, y := s.y, w := s.w, h := s.h, label := s.label, score := s.score)) END
   FROM st t JOIN s ON s.image_id = t.image_id AND s.k = t.k + 1),
-fn AS (SELECT image_id, arg_max(kept, k) AS kept FROM st GROUP BY image_id), ex AS (SELECT image_id, unnest(kept) AS b, generate_subscripts(kept, 1)::INT AS rank FROM fn)
-SELECT image_id, rank, b.label AS label, b.score AS score, b.x AS x, b.y AS y, b.w AS w, b.h AS h FROM ex""")
+fn AS (SELECT image_id, arg_max(kept, k) AS kept FROM st GROUP BY image_id), ex AS (SELECT image_id, unnest(kept) AS b, generate_subscripts(kept, 1)::INT AS rank FROM fn)"""
+
+
+@query("box_nms", f"WITH RECURSIVE {CANDIDATES}, {NMS} SELECT image_id, rank, b.label AS label, b.score AS score, b.x AS x, b.y AS y, b.w AS w, b.h AS h FROM ex")
 def box_nms(spark, d):
     return analysis.nms(_candidates(spark, d))
 
 
-@query("detect")
+DETECTED = COMPONENTS.replace("m AS (SELECT image_id, y, x, v, y * 8 + x AS p FROM vx WHERE v >= 135)", f"src AS (SELECT image_id, v FROM vx), {HIST}, {OTSU}, m AS (SELECT image_id, y, x, v, y * 8 + x AS p FROM vx JOIN ot USING (image_id) WHERE v >= t)")
+
+
+@query("detect", f"""{DETECTED}, {BOXES}, {COLORED}, {box_color_sql(0, "mc")}, sc AS (SELECT lb.image_id, label, sum(v)::DOUBLE / count(*) AS score FROM lb JOIN vx USING (image_id, y, x) GROUP BY ALL),
+cd AS (SELECT image_id, label, x0 AS x, y0 AS y, x1 - x0 AS w, y1 - y0 AS h, score FROM bx JOIN sc USING (image_id, label) WHERE (x1 - x0) * (y1 - y0) >= 64 * 0.0001), {NMS},
+kx AS (SELECT image_id, rank, b.label AS label, b.score AS score, max(b.score) OVER (PARTITION BY image_id) AS best, b.x AS x, b.y AS y, b.w AS w, b.h AS h FROM ex WHERE rank <= 20), {hsv_sql("mc")}
+SELECT image_id, rank, x::INT AS x, y::INT AS y, w::INT AS w, h::INT AS h, round(least(1.0::DOUBLE, score / CASE WHEN best = 0 THEN 1 ELSE best END), 3) AS score, {NAME_SQL.replace(" s <", " u.s <")} AS label, u.r AS mean_r, u.g AS mean_g, u.b AS mean_b, t AS threshold_used
+FROM (SELECT kx.*, ot.t FROM kx JOIN ot USING (image_id)) k JOIN (SELECT image_id, label, r, g, b, hue, s, top FROM u) u USING (image_id, label)""")
 def detect(spark, d):
-    return analysis.detect(analysis.saliency_color(gradient_images(spark, d)).select("image_id", "y", "x", "v"))
+    return analysis.detect(analysis.measured_regions(_vector_px(spark, d)))
 
 
 DIFF = f"WITH {PX}, df AS (SELECT image_id, (19595 * abs(r - {clipped('r * 1.25::DOUBLE')}) + 38470 * abs(g - {clipped('g * 1.25::DOUBLE')}) + 7471 * abs(b - {clipped('b * 1.25::DOUBLE')}) + 32768) >> 16 AS d FROM px)"
@@ -331,20 +369,20 @@ def diff_metrics(spark, d):
 # Packed kernels: results by digest of the bytes, and by their statistics
 
 
-def kernel_query(name: str, kernel) -> None:
-    """The kernel over packed images; (image_id, w, h, sha) of the result."""
+def packed_images(spark, d):
+    return packed_gradients(spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("image_id")))
 
-    def run(spark, d):
-        import numpy as np
-        import pandas as pd
 
-        def each(batches):
-            for pdf in batches:
-                out = [kernel(np.frombuffer(v, np.uint8).reshape(h, w, 3)) for w, h, v in zip(pdf["w"], pdf["h"], pdf["data"])]
-                yield pd.DataFrame({"image_id": pdf["image_id"], "w": [o.shape[1] for o in out], "h": [o.shape[0] for o in out], "data": [np.ascontiguousarray(o, np.uint8).tobytes() for o in out]})
+def large_images(spark, d):
+    """An image of 1700 by 1100 pixels for each row of ``region``."""
+    return packed_gradients(spark.read.parquet(f"{d}/region.parquet").select(F.col("r_regionkey").alias("image_id")).repartition(4), *LARGE)
+
 
-        packed = pack(gradient_images(spark, d)).mapInPandas(each, "image_id long, w int, h int, data binary")
-        return packed.select("image_id", "w", "h", F.sha2("data", 256).alias("sha"))
+def kernel_query(name: str, kernel, source=packed_images) -> None:
+    """The kernel over packed images; (image_id, w, h, sha) of the result."""
+
+    def run(spark, d):
+        return packed_map(source(spark, d), kernel).select("image_id", "w", "h", F.sha2("data", 256).alias("sha"))
 
     query(name)(run)
 
@@ -360,77 +398,135 @@ for _name, _kernel in {
     "saliency_edge": lambda a: kernels.gray3(kernels.saliency(a, "edge")),
     "segment_color": lambda a: kernels.segment(a, "color", colors=5)[0],
     "segment_threshold": lambda a: kernels.segment(a, "threshold", None)[0],
-    "thumbnail": lambda a: kernels.resample(a, 8, 6, "lanczos"),
     "style_pencil": kernels.pencil,
 }.items():
     kernel_query(_name, _kernel)
+for _name, _kernel in {
+    "load_working": lambda a: kernels.downscale(a, 1600),
+    "thumbnail": lambda a: fit(a, 220),
+    "edges_large": kernels.edges,
+    "false_color_large": kernels.false_color,
+    "segment_large": lambda a: kernels.segment(a, "threshold", None)[0],
+    "detect_large": lambda a: kernels.draw_boxes(a, kernels.detect(a, "color")[0]),
+    "keypoints_large": lambda a: kernels.draw_keypoints(a, kernels.keypoints(a)),
+    "style_comic_large": lambda a: kernels.style_transfer(a, "comic"),
+}.items():
+    kernel_query(_name, _kernel, large_images)
 for _name in kernels.STYLES:
     kernel_query(f"style_{_name}", lambda a, n=_name: kernels.style_transfer(a, n))
 
 
 def _descriptors(method):
     def run(spark, d):
+        import numpy as np
         import pandas as pd
 
-        def one(pdf):
-            found = kernels.keypoints(image_array(pdf), method)
-            return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "x": [p["x"] for p in found], "y": [p["y"] for p in found], "descriptor": [p["descriptor"] for p in found]}).astype({"x": "int32", "y": "int32"})
+        def each(batches):
+            for pdf in batches:
+                for r in pdf.itertuples():
+                    found = kernels.keypoints(np.frombuffer(r.data, np.uint8).reshape(r.h, r.w, 3), method)
+                    yield pd.DataFrame({"image_id": [r.image_id] * len(found), "x": [p["x"] for p in found], "y": [p["y"] for p in found], "descriptor": [p["descriptor"] for p in found]}).astype({"image_id": "int64", "x": "int32", "y": "int32"})
 
-        return gradient_images(spark, d).groupBy("image_id").applyInPandas(one, "image_id long, x int, y int, descriptor array<int>")
+        return packed_images(spark, d).mapInPandas(each, "image_id long, x int, y int, descriptor array<int>")
 
     return run
 
 
+def _two(spark, d):
+    """Pairs of images: each with its brightened, shifted copy."""
+    ids = spark.read.parquet(f"{d}/region.parquet").select(F.col("r_regionkey").alias("image_id"))
+    return packed_gradients(ids, 200, 150)
+
+
+@query("match_images")
+def match_images(spark, d):
+    """Both extracts, the matches and the canvas of an image and its copy, brighter and cut on the left."""
+    import numpy as np
+    import pandas as pd
+
+    def each(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                a = np.frombuffer(r.data, np.uint8).reshape(r.h, r.w, 3)
+                m = kernels.match(a, kernels.brightness(a[:, 8:], 10))
+                yield pd.DataFrame({"image_id": [r.image_id], "count_a": [m["count_a"]], "count_b": [m["count_b"]], "matches": [[{"ax": x["a"]["x"], "ay": x["a"]["y"], "bx": x["b"]["x"], "by": x["b"]["y"], "distance": x["distance"]} for x in m["matches"]]], "w": [m["image"].shape[1]], "h": [m["image"].shape[0]]})
+
+    return _two(spark, d).mapInPandas(each, "image_id long, count_a int, count_b int, matches array<struct<ax: int, ay: int, bx: int, by: int, distance: double>>, w int, h int")
+
+
+@query("fast_corners")
+def fast_corners(spark, d):
+    import numpy as np
+    import pandas as pd
+
+    def each(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                y, x = np.nonzero(kernels.fast_corners(kernels.luma(np.frombuffer(r.data, np.uint8).reshape(r.h, r.w, 3))))
+                yield pd.DataFrame({"image_id": np.full(len(y), r.image_id), "y": y.astype(np.int32), "x": x.astype(np.int32)})
+
+    return packed_images(spark, d).mapInPandas(each, "image_id long, y int, x int")
+
+
+@query("diff_aligned")
+def diff_aligned(spark, d):
+    """Metrics of images against their halves, to whose size they are scaled first."""
+    import numpy as np
+    import pandas as pd
+
+    half = packed_map(packed_images(spark, d), lambda a: kernels.resize(a, scale=0.5))
+    both = analysis.aligned(packed_images(spark, d), half).join(half.select("image_id", F.col("data").alias("other")), "image_id")
+
+    def each(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                a, b = (np.frombuffer(v, np.uint8).reshape(r.h, r.w, 3) for v in (r.data, r.other))
+                yield pd.DataFrame([{"image_id": r.image_id, **kernels.difference_heat(a, b)[1]}])
+
+    return both.mapInPandas(each, "image_id long, mse double, rmse double, psnr double, changed_ratio double, mse_true double")
+
+
 query("descriptors_sift")(_descriptors("sift"))
 query("descriptors_orb")(_descriptors("orb"))
 
 # Matching: embeddings as descriptors, neighbouring ids as the two images of a pair
 
-MATCH = """a AS (SELECT (vec_id // 20)::BIGINT AS pair_id, vec_id AS a_id, embedding::DOUBLE[] AS d FROM embeddings WHERE vec_id % 2 = 0), b AS (SELECT (vec_id // 20)::BIGINT AS pair_id, vec_id AS b_id, embedding::DOUBLE[] AS e FROM embeddings),
-ds AS (SELECT a.pair_id, a_id, b_id, sqrt(list_sum(list_transform(list_zip(d, e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS distance FROM a JOIN b ON b.pair_id = a.pair_id AND b.b_id > a.a_id),
+MATCH = """a AS (SELECT (vec_id // 20)::BIGINT AS pair_id, vec_id AS a_id, embedding::DOUBLE[] AS d FROM embeddings WHERE vec_id % 2 = 0), b AS (SELECT (vec_id // 20)::BIGINT AS pair_id, vec_id AS b_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 2 = 1),
+ds AS (SELECT a.pair_id, a_id, b_id, sqrt(list_sum(list_transform(list_zip(d, e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS distance FROM a JOIN b ON b.pair_id = a.pair_id),
 rk AS (SELECT *, row_number() OVER w AS k, lead(distance) OVER w AS second FROM ds WINDOW w AS (PARTITION BY pair_id, a_id ORDER BY distance, b_id)),
 nn AS (SELECT pair_id, a_id, b_id, distance FROM rk WHERE k = 1 AND (second IS NULL OR distance < 0.97::DOUBLE * second))"""
 
 
-def _nearest(spark, d):
+def _both(spark, d):
+    """The descriptors of both images of each pair: of twenty ids in a row, the even and the odd ones."""
     e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.floor(F.col("vec_id") / 20).alias("pair_id"), "vec_id", F.col("embedding").cast("array<double>").alias("d"))
-    a = e.where("vec_id % 2 = 0").withColumnRenamed("vec_id", "a_id")
-    b = e.select("pair_id", F.col("vec_id").alias("b_id"), "d")
-    # only later rows are the other image's
-    own = a.join(b.withColumnRenamed("d", "e"), "pair_id").where("b_id > a_id")
-    dist = own.select("pair_id", "a_id", "b_id", matching.euclidean(F.col("d"), F.col("e")).alias("distance"))
-    return dist
+    odd = F.col("vec_id") % 2 == 1
+    return e.where(~odd).withColumnRenamed("vec_id", "a_id"), e.where(odd).select("pair_id", F.col("vec_id").alias("b_id"), F.col("d").alias("e"))
 
 
 @query("match_distances", f"WITH {MATCH} SELECT pair_id, a_id, b_id, round(distance, 6) AS distance FROM ds")
 def match_distances(spark, d):
-    return _nearest(spark, d).withColumn("distance", F.round("distance", 6))
-
-
-def _both(spark, d):
-    e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.floor(F.col("vec_id") / 20).alias("pair_id"), "vec_id", F.col("embedding").cast("array<double>").alias("d"))
-    return e.where("vec_id % 2 = 0").withColumnRenamed("vec_id", "a_id"), e.where("vec_id % 2 = 1").select("pair_id", F.col("vec_id").alias("b_id"), "d")
-
-
-_MATCH2 = MATCH.replace("FROM embeddings),\nds", "FROM embeddings WHERE vec_id % 2 = 1),\nds").replace(" AND b.b_id > a.a_id", "")
+    a, b = _both(spark, d)
+    return a.join(b, "pair_id").select("pair_id", "a_id", "b_id", F.round(matching.euclidean(F.col("d"), F.col("e")), 6).alias("distance"))
 
 
-@query("match_ratio", f"WITH {_MATCH2} SELECT pair_id, a_id, b_id, round(distance, 6) AS distance FROM nn")
+@query("match_ratio", f"WITH {MATCH} SELECT pair_id, a_id, b_id, round(distance, 6) AS distance FROM nn")
 def match_ratio(spark, d):
     a, b = _both(spark, d)
-    return matching.nearest_with_ratio(a, b, 0.97).withColumn("distance", F.round("distance", 6))
+    return matching.nearest_with_ratio(a, b.withColumnRenamed("e", "d"), 0.97).withColumn("distance", F.round("distance", 6))
 
 
-@query("match_one_to_one", f"WITH {_MATCH2}, f AS (SELECT * FROM nn QUALIFY row_number() OVER (PARTITION BY pair_id, b_id ORDER BY distance, a_id) = 1) SELECT pair_id, a_id, b_id, round(distance, 3) AS distance, row_number() OVER (PARTITION BY pair_id ORDER BY distance, a_id)::INT AS rank FROM f QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY distance, a_id) <= 4")
+@query("match_one_to_one", f"WITH {MATCH}, f AS (SELECT * FROM nn QUALIFY row_number() OVER (PARTITION BY pair_id, b_id ORDER BY distance, a_id) = 1) SELECT pair_id, a_id, b_id, round(distance, 3) AS distance, row_number() OVER (PARTITION BY pair_id ORDER BY distance, a_id)::INT AS rank FROM f QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY distance, a_id) <= 40")
 def match_one_to_one(spark, d):
     a, b = _both(spark, d)
-    return matching.one_to_one(matching.nearest_with_ratio(a, b, 0.97), 4)
+    return matching.one_to_one(matching.nearest_with_ratio(a, b.withColumnRenamed("e", "d"), 0.97))
 
 
-@query("match_hamming", """WITH h AS (SELECT vec_id, list_transform(embedding, lambda v: v > 0) AS s FROM embeddings) SELECT a.vec_id AS a_id, b.vec_id AS b_id, len(list_filter(list_zip(a.s, b.s), lambda z: z[1] <> z[2]))::INT AS distance FROM h a JOIN h b ON b.vec_id = a.vec_id + 1""")
+@query("match_hamming", f"WITH {MATCH} SELECT a.pair_id, a_id, b_id, len(list_filter(list_zip(d, e), lambda z: (z[1] > 0) <> (z[2] > 0)))::INT AS distance FROM a JOIN b ON b.pair_id = a.pair_id")
 def match_hamming(spark, d):
-    e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("a_id"), F.transform("embedding", lambda v: v > 0).alias("s"))
-    return e.join(e.select((F.col("a_id") - 1).alias("k"), F.col("a_id").alias("b_id"), F.col("s").alias("t")), F.col("a_id") == F.col("k")).select("a_id", "b_id", matching.hamming(F.col("s"), F.col("t")).alias("distance"))
+    a, b = _both(spark, d)
+    signs = lambda c: F.transform(c, lambda v: v > 0)
+    return a.join(b, "pair_id").select("pair_id", "a_id", "b_id", matching.hamming(signs("d"), signs("e")).alias("distance"))
 
 
 # Catalogue tables
@@ -562,6 +658,137 @@ def human_bytes_query(spark, d):
     return _table(spark, d, "orders").select("o_orderkey", human_bytes((k * k * 37 + k).cast("double")).alias("size"))
 
 
+_RESULTS = f"WITH {_CACHE}"
+
+
+@query("cache_get_entry", f"{_RESULTS} SELECT c.* FROM c WHERE result_id IN (SELECT event_id FROM events WHERE event_type = 'click')")
+def cache_get_entry(spark, d):
+    asked = _table(spark, d, "events").where("event_type = 'click'").select(F.col("event_id").alias("result_id"))
+    return catalog.pick(_cache(spark, d), asked, "result_id")
+
+
+@query("cache_list_results", f"{_RESULTS} SELECT * FROM c ORDER BY created_at DESC, result_id DESC")
+def cache_list_results(spark, d):
+    return catalog.listing(_cache(spark, d), "created_at", "result_id")
+
+
+@query("cache_touch", f"{_RESULTS}, u AS (SELECT user_id || '-' || event_type AS key, max(epoch_us(ts)) + 5 AS used_at FROM events WHERE event_id % 3 = 0 GROUP BY 1) SELECT c.key, result_id, greatest(created_at, coalesce(used_at, created_at)) AS last_access FROM c LEFT JOIN u USING (key)")
+def cache_touch(spark, d):
+    e = _table(spark, d, "events").where("event_id % 3 = 0")
+    used = e.select(F.concat_ws("-", F.col("user_id").cast("string"), "event_type").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) + 5).alias("at"))
+    return catalog.touch(_cache(spark, d).withColumn("last_access", F.col("created_at")), used).select("key", "result_id", "last_access")
+
+
+@query("cache_delete_result", f"{_RESULTS} SELECT key, result_id FROM c WHERE result_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def cache_delete_result(spark, d):
+    gone = _table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("result_id"))
+    return catalog.without(_cache(spark, d), gone, "result_id").select("key", "result_id")
+
+
+@query("cache_operation_key", """SELECT doc_id, sha256(encode(sha256(coalesce(text, ''))) || '\\x00'::BLOB || encode('blur') || '\\x00'::BLOB || encode('{"mode": "box", "radius": ' || doc_id % 5 || '}') || '\\x00'::BLOB) AS key FROM documents""")
+def cache_operation_key(spark, d):
+    params = F.format_string('{"mode": "box", "radius": %d}', F.col("doc_id") % 5)
+    return _table(spark, d, "documents").select("doc_id", catalog.cache_key(F.sha2(F.coalesce("text", F.lit("")), 256), F.lit("blur"), params).alias("key"))
+
+
+@query("images_list", "SELECT doc_id AS id, source AS filename, n_chars AS created_at FROM documents ORDER BY n_chars DESC, doc_id DESC")
+def images_list(spark, d):
+    return catalog.listing(_table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("filename"), F.col("n_chars").alias("created_at")), "created_at", "id")
+
+
+@query("orphan_files_clean", "SELECT count(*) FILTER (WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS removed, count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels)) AS kept FROM documents")
+def orphan_files_clean(spark, d):
+    files, records = _table(spark, d, "documents").select(F.col("doc_id").alias("id")), _table(spark, d, "labels").select(F.col("doc_id").alias("id"))
+    gone, kept = catalog.orphan_files(files, records), catalog.pick(files, records)
+    return gone.agg(F.count("*").alias("removed")).join(kept.agg(F.count("*").alias("kept")))  # a row each
+
+
+_HISTORY = "hh AS (SELECT event_id AS id, user_id, event_id % 40 AS result_id, epoch_us(ts) AS created_at FROM events)"
+
+
+def _history(spark, d):
+    return _table(spark, d, "events").select(F.col("event_id").alias("id"), "user_id", (F.col("event_id") % 40).alias("result_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("created_at"))
+
+
+@query("history_get", f"WITH {_HISTORY} SELECT * FROM hh WHERE id IN (SELECT doc_id FROM labels)")
+def history_get(spark, d):
+    return catalog.pick(_history(spark, d), _table(spark, d, "labels").select(F.col("doc_id").alias("id")))
+
+
+@query("history_delete", f"WITH {_HISTORY}, g AS (SELECT * FROM hh WHERE id IN (SELECT item_id FROM benchmark)) SELECT 'history' AS tab, id FROM hh WHERE id NOT IN (SELECT id FROM g) UNION ALL SELECT 'results', r FROM (SELECT unnest(range(40)) AS r) WHERE r NOT IN (SELECT result_id FROM g)")
+def history_delete(spark, d):
+    results = spark.range(40).select(F.col("id").alias("result_id"))
+    history, left = catalog.delete_history(_history(spark, d), results, _table(spark, d, "benchmark").select(F.col("item_id").alias("id")))
+    return history.select(F.lit("history").alias("tab"), "id").union(left.select(F.lit("results"), "result_id"))
+
+
+@query("history_restore", "SELECT 'p' || event_id AS id, 'restored: ' || event_type AS name, props AS nodes, 1 AS version, true AS valid FROM events")
+def history_restore(spark, d):
+    e = _table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("pipeline_name"), F.col("props").alias("pipeline_snapshot"))
+    out = catalog.restored(e, F.concat(F.lit("p"), F.col("id").cast("string")), F.lit(0))
+    return out.select("id", "name", "nodes", "version", "valid")
+
+
+@query("history_record", """SELECT event_id AS image_id, user_id AS pipeline_id, event_type = 'view' AS cache_hit, CASE WHEN event_type = 'click' THEN 'error' ELSE 'ok' END AS status, CASE WHEN event_type = 'click' THEN 'ValueError: bad' END AS error,
+  CASE WHEN event_type <> 'click' THEN event_id * 3 END AS result_id, 2 AS node_count, floor(value * 1000)::BIGINT AS duration_ms FROM events""")
+def history_record(spark, d):
+    e = _table(spark, d, "events")
+    bad = F.col("event_type") == "click"
+    runs = e.select(F.col("event_id").alias("image_id"), F.when(~bad, F.col("event_id") * 3).alias("result_id"), (F.col("event_type") == "view").alias("cache_hit"), F.when(bad, "ValueError: bad").alias("error"), F.lit(0.0).alias("began"), F.col("value").alias("ended"), F.col("user_id").alias("pipeline_id"))
+    return catalog.record_history(runs, F.lit("two"), F.lit(2)).select("image_id", "pipeline_id", "cache_hit", "status", "error", "result_id", "node_count", "duration_ms")
+
+
+_PRESETS = "pp AS (SELECT p_partkey AS id, p_name AS name, CASE WHEN p_size % 3 = 0 THEN 'style' WHEN p_size % 3 = 1 THEN 'filter' END AS scope, p_size AS params FROM part)"
+
+
+def _presets(spark, d):
+    p = _table(spark, d, "part")
+    return p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.when(F.col("p_size") % 3 == 0, "style").when(F.col("p_size") % 3 == 1, "filter").alias("scope"), F.col("p_size").alias("params"))
+
+
+@query("presets_create", f"WITH {_PRESETS} SELECT id, name, coalesce(scope, 'filter') AS scope, params FROM pp")
+def presets_create(spark, d):
+    new, old = _presets(spark, d).where("id % 2 = 0"), catalog.with_scope(_presets(spark, d).where("id % 2 = 1"))
+    return catalog.add_presets(old, new)
+
+
+@query("presets_update", f"WITH {_PRESETS} SELECT id, CASE WHEN id % 5 = 0 THEN 'renamed' ELSE name END AS name, scope, CASE WHEN id % 7 = 0 THEN -1 ELSE params END AS params FROM pp")
+def presets_update(spark, d):
+    p = _presets(spark, d)
+    changes = p.where("id % 5 = 0 OR id % 7 = 0").select("id", F.when(F.col("id") % 5 == 0, "renamed").alias("name"), F.when(F.col("id") % 7 == 0, -1).alias("params"))
+    return catalog.update_preset(p, changes)
+
+
+@query("presets_delete", f"WITH {_PRESETS} SELECT * FROM pp WHERE id NOT IN (SELECT doc_id FROM labels)")
+def presets_delete(spark, d):
+    return catalog.without(_presets(spark, d), _table(spark, d, "labels").select(F.col("doc_id").alias("id")))
+
+
+@query("pipelines_create", """SELECT o_orderkey AS id, CASE o_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'b: unknown type nothing' WHEN 2 THEN 'b: no node zz' ELSE 'duplicate id a' END AS errors, o_custkey % 4 = 0 AS valid, 1 AS version FROM orders""")
+def pipelines_create(spark, d):
+    one = '[{"id":"a","type":"invert","inputs":[]},'
+    graphs = [one + x for x in ('{"id":"b","type":"blur","inputs":["a"]}]', '{"id":"b","type":"nothing","inputs":["a"]}]', '{"id":"b","type":"invert","inputs":["zz"]}]', '{"id":"a","type":"invert","inputs":[]}]')]
+    new = _table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit("p").alias("name"), F.element_at(F.array(*map(F.lit, graphs)), (F.col("o_custkey") % 4 + 1).cast("int")).alias("nodes"))
+    return dag.checked(new).select("id", "errors", "valid", "version")
+
+
+@query("pipelines_list", "SELECT o_orderkey AS id, o_orderstatus AS name, epoch_us(o_orderdate) AS updated_at FROM orders ORDER BY updated_at DESC, id DESC")
+def pipelines_list(spark, d):
+    o = _table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("name"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("updated_at"))
+    return catalog.listing(o, "updated_at", "id")
+
+
+@query("pipelines_get", "SELECT o_orderkey AS id, o_orderstatus AS name FROM orders WHERE o_orderkey IN (SELECT doc_id FROM labels)")
+def pipelines_get(spark, d):
+    return catalog.pick(_table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("name")), _table(spark, d, "labels").select(F.col("doc_id").alias("id")))
+
+
+@query("jobs_enqueue", "SELECT o_orderkey AS id, 'queued' AS status, 0 AS done, 3 AS total, epoch_us(o_orderdate) AS created_at FROM orders ORDER BY created_at DESC, id DESC LIMIT 100")
+def jobs_enqueue(spark, d):
+    o = _table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.array(F.lit(1), F.lit(2), F.lit(2), F.lit(3)).alias("image_ids"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("created_at"))
+    return catalog.enqueue(catalog.queued(o.where("id % 2 = 0")), o.where("id % 2 = 1")).select("id", "status", "done", "total", "created_at")
+
+
 # Graphs
 
 CHAIN = [{"id": "n1", "type": "brightness", "params": {"amount": 25}, "inputs": []}, {"id": "n2", "type": "blur", "params": {"mode": "box", "radius": 2}, "inputs": ["n1"]}, {"id": "n3", "type": "edges", "params": {"method": "sobel"}, "inputs": ["n2"]}]
@@ -575,12 +802,16 @@ def _rows_sql(rows: list[tuple], names: str) -> str:
 
 
 pixel_query("graph_points", lambda px: dag.compile_pixels(px, POINTS), f"WITH {PX} SELECT image_id, ({HEIGHT} - 1 - y)::INT AS y, x, (r - r % 32)::INT AS r, (g - g % 32)::INT AS g, (b - b % 32)::INT AS b FROM px")
-pixel_query("graph_chain", lambda px: dag.compile_pixels(px, CHAIN))
+_BLURRED = ", ".join(f"a{c} AS ({box_sql('bright' if c == 'r' else f'b{BANDS[BANDS.index(c) - 1]}', c, 'x', 'y', WIDTH - 1, 2, f'h{c}')}), b{c} AS ({box_sql(f'a{c}', f'h{c}', 'y', 'x', HEIGHT - 1, 2, f'o_{c}')})" for c in BANDS)
+pixel_query("graph_chain", lambda px: dag.compile_pixels(px, CHAIN), f"""WITH {PX}, bright AS (SELECT image_id, y, x, {", ".join(f"{clipped(f'{c} * 1.25::DOUBLE')} AS {c}" for c in BANDS)} FROM px), {_BLURRED},
+bl AS (SELECT image_id, y, x, ((19595*o_r + 38470*o_g + 7471*o_b + 32768) >> 16)::INT AS l FROM bb), nb AS ({around('bl', 'l')}), mg AS (SELECT image_id, y, x, l, {magnitude_sql('sobel')} AS mag FROM nb),
+am AS (SELECT *, floor(avg(mag) OVER (PARTITION BY image_id) + 0.5)::INT AS m FROM mg), ce AS (SELECT *, {clipped(f'm + {0.4 + 0.5 * 1.6!r}::DOUBLE * (mag - m)')} AS e FROM am), oo AS (SELECT image_id, y, x, {clipped('l + 0.5::DOUBLE * (e - l)')} AS v FROM ce)
+SELECT image_id, y, x, v AS r, v AS g, v AS b FROM oo""")
 
 
 @query("graph_execute")
 def graph_execute(spark, d):
-    out = dag.execute(pack(gradient_images(spark, d)), CHAIN)
+    out = dag.execute(packed_images(spark, d), CHAIN)
     return out.select("image_id", "w", "h", F.sha2("data", 256).alias("sha"), F.size("node_results").alias("n_results"), "error")
 
 
@@ -601,18 +832,20 @@ def graph_errors(spark, d):
     return spark.createDataFrame(list(enumerate(dag.validate(bad))), "pos int, error string")
 
 
-@query("graph_key", _rows_sql([(dag.cache_key(dag.canonical_key(CHAIN)),)], "key"))
+@query("graph_key", """SELECT sha256(encode('[{"inputs":[],"params":{"amount":25},"type":"brightness"},{"inputs":[0],"params":{"mode":"box","radius":2},"type":"blur"},{"inputs":[1],"params":{"method":"sobel","strength":50},"type":"edges"}]') || '\\x00'::BLOB) AS key""")
 def graph_key(spark, d):
     renamed = [{**n, "id": f"x{n['id']}", "inputs": [f"x{i}" for i in n["inputs"]]} for n in CHAIN]
     return spark.createDataFrame([(dag.canonical_key(renamed),)], "form string").select(catalog.cache_key(F.col("form")).alias("key"))
 
 
-@query("node_catalogue", _rows_sql([(n["type"], n["category"], n["max_inputs"]) for n in dag.catalogue()], "type, category, max_inputs"))
+@query("node_catalogue", """WITH c(category, types) AS (VALUES ('filter', 'blur brightness contrast edges emboss noise saturation sharpen'), ('color', 'color_balance false_color grayscale histogram_equalize invert posterize solarize threshold'),
+  ('geometry', 'border crop flip resize rotate'), ('vision', 'detect keypoints segment style_transfer')) SELECT unnest(string_split(types, ' ')) AS type, category, 1 AS max_inputs FROM c""")
 def node_catalogue(spark, d):
     return spark.createDataFrame([(n["type"], n["category"], n["max_inputs"]) for n in dag.catalogue()], "type string, category string, max_inputs int")
 
 
-@query("styles", _rows_sql([(k, v[0]) for k, v in kernels.STYLES.items()], "name, description"))
+@query("styles", """SELECT * FROM (VALUES ('oil', 'thick warm strokes'), ('watercolor', 'soft pale washes'), ('sketch', 'pencil lines'), ('vintage', 'brown and faded'), ('comic', 'flat colours, dark lines'),
+  ('cyber', 'blue and violet glow'), ('crayon', 'grainy chalk'), ('noir', 'hard black and white'), ('autumn', 'warm orange and gold')) v(name, description)""")
 def styles(spark, d):
     return spark.createDataFrame([(k, v[0]) for k, v in kernels.STYLES.items()], "name string, description string")
 
