@@ -25,10 +25,12 @@ def duck():
 
 def normal(pdf):
     cols = sorted(pdf.columns)
+    if len(pdf) > 100_000:  # pixels: numbers only
+        return pdf[cols].astype("float64").sort_values(cols).reset_index(drop=True)
     return pdf[cols].map(lambda v: None if v is None or isinstance(v, float) and math.isnan(v) else v).astype(str).sort_values(cols).reset_index(drop=True)
 
 
-CHECKED = ["brightness_up", "contrast", "equalize", "false_color_thermal", "noise_saltpepper", "crop", "border", "edges_sobel", "emboss", "blur_box", "keypoints", "threshold_coverage", "connected_components", "region_stats", "color_names", "box_nms", "diff_metrics", "match_one_to_one", "match_hamming", "ingest_dedupe", "catalog_reconcile", "catalog_annotations", "history_newest", "pipeline_versions", "cache_evict", "cache_key", "job_states", "human_bytes", "graph_points", "graph_key", "node_catalogue"]
+CHECKED = ["brightness_up", "contrast", "equalize", "false_color_thermal", "noise_saltpepper", "crop", "border", "edges_sobel", "emboss", "blur_box", "keypoints", "threshold_coverage", "connected_components", "region_stats", "color_names", "box_nms", "diff_metrics", "match_one_to_one", "match_hamming", "ingest_dedupe", "catalog_reconcile", "catalog_annotations", "history_newest", "pipeline_versions", "cache_evict", "cache_key", "job_states", "human_bytes", "graph_points", "graph_chain", "graph_key", "node_catalogue", "styles", "detect", "style_channel_transfer", "match_distances", "match_ratio", "cache_get_entry", "cache_list_results", "cache_touch", "cache_delete_result", "cache_operation_key", "images_list", "orphan_files_clean", "history_get", "history_delete", "history_restore", "history_record", "presets_create", "presets_update", "presets_delete", "pipelines_create", "pipelines_list", "pipelines_get", "jobs_enqueue"]
 
 
 @pytest.mark.parametrize("name", CHECKED)
@@ -132,6 +134,170 @@ def test_batch_cache(spark, tmp_path):
     assert {r["error"] for r in run_batch(spark, table, [{"id": "n", "type": "x"}], cache).collect()} == {"n: unknown type x"}
 
 
+def test_collections_fall_back_and_lose_no_update(spark, tmp_path):
+    import shutil
+
+    from rasterloom.plans.store import Collection, Conflict, write_bytes
+
+    c = Collection(spark, str(tmp_path / "c"), "id long, n long")
+    row = lambda *v: spark.createDataFrame([v], "id long, n long")
+    assert c.read().count() == 0
+    first = c.write(row(1, 1))
+    c.update(lambda old: old.union(row(2, 2)))
+    with pytest.raises(Conflict):
+        c.write(row(9, 9), after=first)  # another writer has been there
+    tries = []
+
+    def change(old):
+        if not tries:  # someone else commits between our read and our write
+            tries.append(c.update(lambda o: o.union(row(3, 3))))
+        return old.union(row(4, 4))
+
+    c.update(change)
+    assert sorted(r["id"] for r in c.read().collect()) == [1, 2, 3, 4] and len(c.versions()) == 2
+    newest = tmp_path / "c" / c._snapshot(c.versions()[-1])
+    for f in newest.glob("*.parquet"):
+        f.write_bytes(b"broken")
+    assert sorted(r["id"] for r in c.read().collect()) == [1, 2, 3]
+    shutil.rmtree(newest)
+    assert c.read().count() == 3
+    write_bytes(spark, str(tmp_path / "x.bin"), b"one")
+    write_bytes(spark, str(tmp_path / "x.bin"), b"two")
+    assert (tmp_path / "x.bin").read_bytes() == b"two" and [f.name for f in tmp_path.iterdir() if f.name.startswith(".tmp")] == []
+
+
+def test_jobs(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from rasterloom.plans import store
+
+    some = images(3)
+    table = spark.createDataFrame([(i, 16, 12, bytearray(a.tobytes())) for i, a in enumerate(some)], "image_id long, w int, h int, data binary").withColumn("id", F.sha2("data", 256))
+    jobs, cache = store.Collection(spark, str(tmp_path / "jobs"), store.JOBS), store.Collection(spark, str(tmp_path / "cache"), store.CACHE)
+    nodes = [{"id": "n", "type": "invert", "inputs": []}]
+    one = store.enqueue_job(spark, jobs, nodes, [0, 1, 1, 2, 7])
+    two = store.enqueue_job(spark, jobs, nodes, [0, 1])
+    assert store.get_job(jobs, one)["status"] == "queued" and store.get_job(jobs, one)["total"] == 4
+    assert store.cancel_job(spark, jobs, two)["status"] == "cancelled"
+    assert store.run_job(spark, jobs, table, cache, two)["status"] == "cancelled" and store.run_job(spark, jobs, table, cache, "none") is None
+    done = store.run_job(spark, jobs, table, cache, one, part=2)
+    assert done["status"] == "partial" and done["done"] == 4 and done["results"][7]["error"] == "no such image" and done["results"][0]["status"] == "ok"
+    out = {r["image_id"]: r for r in store.run_operation(spark, table, "detect", {"method": "color"}, cache).collect()}
+    again = {r["image_id"]: r for r in store.run_operation(spark, table, "detect", {"method": "color"}, cache).collect()}
+    assert not out[0]["cache_hit"] and again[0]["cache_hit"] and json.loads(again[0]["meta"])["boxes"] == k.detect(some[0], "color", 128)[0]
+    assert not any(r["cache_hit"] for r in store.run_operation(spark, table, "detect", {"method": "edge"}, cache).collect())
+
+
+def test_kernels_by_loops():
+    a = images(1, 20, 23)[0]
+    g = k.luma(a).astype(int)
+    corners = k.fast_corners(k.luma(a), 20, 5)
+    for y in range(20):
+        for x in range(23):
+            want = False
+            if 3 <= x < 20 and 3 <= y < 17:
+                for sign in (1, -1):
+                    run = 0
+                    for dx, dy in k.RING:
+                        run = run + 1 if sign * (g[y + dy, x + dx] - g[y, x]) > 20 else 0
+                        want |= run >= 5
+            assert corners[y, x] == want
+    labels = k.label_components(k.luma(a) >= 127)
+    m = k.measured(labels, k.luma(a))
+    for n in range(1, labels.max() + 1):
+        y, x = np.nonzero(labels == n)
+        assert [m[c][n - 1] for c in ("area", "x0", "y0", "x1", "y1", "sum")] == [len(x), x.min(), y.min(), x.max(), y.max(), g[y, x].sum()]
+    weigh = lambda n: [1 - abs(i + 0.5 - n / 2) / n for i in range(n)]
+    for h, w in ((1, 1), (2, 5), (20, 23)):
+        box, wx, wy = a[:h, :w].astype(float), weigh(w), weigh(h)
+        rows = [[math.floor(sum(wx[i] * box[j, i, c] for i in range(w)) / sum(wx) + 0.5 + 1e-9) for c in range(3)] for j in range(h)]
+        assert k.box_color(a[:h, :w]) == [math.floor(sum(wy[j] * rows[j][c] for j in range(h)) / sum(wy) + 0.5 + 1e-9) for c in range(3)]
+    found, used = k.detect(a, "color")
+    s = k.saliency(a, "color").astype(int)
+    labels, candidates = k.label_components(s >= used), []
+    assert used == k.otsu(k.saliency(a, "color"))
+    for n in range(1, labels.max() + 1):
+        y, x = np.nonzero(labels == n)
+        if (x.max() - x.min()) * (y.max() - y.min()) >= s.size * 0.0001:
+            candidates.append((s[y, x].mean(), (int(x.min()), int(y.min()), int(x.max() - x.min()), int(y.max() - y.min()))))
+    kept = k.suppress(candidates)[:20]
+    assert [(b["x"], b["y"], b["w"], b["h"], b["score"]) for b in found] == [(*b, round(v / kept[0][0], 3)) for v, b in kept] and len(found) > 0
+    assert all(b["label"] == k.color_name(b["mean_color"]) for b in found)
+    _, regions = k.segment(a, "threshold", 127)
+    labels = k.label_components(k.luma(a) >= 127)
+    assert [r["area"] for r in regions] == sorted((int((labels == n).sum()) for n in range(1, labels.max() + 1)), reverse=True)
+    for r in regions:
+        y, x = np.nonzero(labels == r["id"])
+        assert r["box"] == [x.min(), y.min(), x.max() - x.min(), y.max() - y.min()]
+
+
+def test_median_and_resampling_by_loops():
+    a = images(1, 9, 11)[0]
+    got = k.blur(a, "median", 2)
+    for y in range(9):
+        for x in range(11):
+            near = [[a[min(8, max(0, y + j)), min(10, max(0, x + i))] for i in (-1, 0, 1)] for j in (-1, 0, 1)]
+            assert (got[y, x] == np.median(np.array(near).reshape(9, 3), 0)).all()
+
+    def one(v, to, f, support):  # along a line of values
+        n, out = len(v), []
+        scale = n / to
+        wide = max(scale, 1.0)
+        for i in range(to):
+            c = (i + 0.5) * scale
+            at = range(max(0, int(c - support * wide + 0.5)), min(n, int(c + support * wide + 0.5)))
+            w = [f((j - c + 0.5) / wide) for j in at]
+            out.append(min(255, max(0, math.floor(sum(q * v[j] for q, j in zip(w, at)) / sum(w) + 0.5 + 1e-9))))
+        return out
+
+    sinc = lambda x: 1.0 if x == 0 else math.sin(math.pi * x) / (math.pi * x)
+    for name, f, support in (("bilinear", lambda x: max(0.0, 1 - abs(x)), 1), ("lanczos", lambda x: sinc(x) * sinc(x / 3) if abs(x) < 3 else 0.0, 3)):
+        for w, h in ((5, 4), (17, 13), (11, 4)):
+            got = k.resample(a, w, h, name)
+            for c in range(3):
+                rows = [one([int(v) for v in a[y, :, c]], w, f, support) if w != 11 else a[y, :, c].tolist() for y in range(9)]
+                want = np.array([one([rows[y][x] for y in range(9)], h, f, support) for x in range(w)]).T
+                assert np.abs(got[..., c].astype(int) - want).max() <= 1 and (got[..., c] == want).mean() > 0.99
+
+
+def test_matching_two_images_and_working_sizes(spark):
+    from rasterloom.sources.rasters import fit, gradient_array, load_working, thumbnails
+
+    a = gradient_array(3, 200, 150)
+    m = k.match(a, a[:, 8:])
+    assert m["count"] == len(m["matches"]) > 0 and m["image"].shape == (150, 392, 3) and m["count_a"] <= 120
+    assert len({(x["b"]["x"], x["b"]["y"]) for x in m["matches"]}) == m["count"] and [x["distance"] for x in m["matches"]] == sorted(x["distance"] for x in m["matches"])
+    heat, metrics = k.difference_heat(gradient_array(1), gradient_array(1, 32, 24))
+    assert heat.shape == (24, 32, 3) and metrics["mse"] > 0 and k.difference_heat(a, a)[1] == {"mse": 0.0, "rmse": 0.0, "psnr": 100.0, "changed_ratio": 0.0, "mse_true": 0.0}
+    big = gradient_array(2, 1700, 1100)
+    assert k.downscale(big, 1600).shape == (1035, 1600, 3) and fit(big, 220).shape == (142, 220, 3) and fit(a, 220) is a
+    packed = spark.createDataFrame([(1, 1700, 1100, bytearray(big.tobytes()), 6)], "image_id long, w int, h int, data binary, orientation int")
+    small = load_working(packed.drop("orientation")).first()
+    assert (small["w"], small["h"]) == (1600, 1035) and bytes(small["data"]) == k.downscale(big, 1600).tobytes()
+    turned = thumbnails(packed).first()
+    assert (turned["w"], turned["h"]) == (142, 220)
+    for t in ("edges", "detect", "segment", "keypoints", "style_transfer"):
+        assert run_node(t, big)[0].shape == big.shape
+
+
+def test_formats_and_orientation(spark, tmp_path):
+    from rasterloom.sources.rasters import orientation, png, read_files, upright
+
+    exif = b"Exif\0\0" + b"MM\0*\0\0\0\x08" + b"\0\x01" + b"\x01\x12\0\x03\0\0\0\x01\0\x06\0\0" + b"\0\0\0\0"
+    jpeg = b"\xff\xd8\xff\xe1" + (len(exif) + 2).to_bytes(2, "big") + exif + b"\xff\xda"
+    assert orientation(jpeg) == 6 and orientation(b"\xff\xd8\xff\xda") == 1 and orientation(b"") == 1 and orientation(jpeg[:20]) == 1
+    a = np.arange(12, dtype=np.uint8).reshape(2, 2, 3)
+    b, c, d, e = a[0, 0], a[0, 1], a[1, 0], a[1, 1]
+    seen = {1: [[b, c], [d, e]], 2: [[c, b], [e, d]], 3: [[e, d], [c, b]], 4: [[d, e], [b, c]], 5: [[b, d], [c, e]], 6: [[d, b], [e, c]], 7: [[e, c], [d, b]], 8: [[c, e], [b, d]]}
+    for tag, want in seen.items():
+        assert (upright(a, tag) == np.array(want)).all(), tag
+    files = {"a.png": (png(a), "PNG", 1), "b.jpg": (jpeg, "JPEG", 6), "c.gif": (b"GIF89a", "GIF", 1), "d.webp": (b"RIFF\0\0\0\0WEBP", "WEBP", 1), "e.wav": (b"RIFF\0\0\0\0WAVE", None, 1), "f.txt": (b"text", None, 1)}
+    for name, (content, _, _) in files.items():
+        (tmp_path / name).write_bytes(content)
+    got = {r["path"].rsplit("/", 1)[1]: (bytes(r["content"]), r["format"], r["orientation"]) for r in read_files(spark, str(tmp_path)).collect()}
+    assert got == files
+
+
 def test_png_round_trip_and_sources(spark, tmp_path):
     from rasterloom.sources.rasters import over_white, pack, png, read_images, unpack, with_png
     from rasterloom.streaming.ingest import ingest
@@ -178,7 +344,7 @@ def test_descriptors_of_all_maxima(spark, method):
     assert got.where("count > 5").count() and normal(got.toPandas()).equals(normal(most.toPandas()))
 
 
-def test_without_the_training_subpackage():
+def test_without_the_training_subpackage():  # with it, a dependency that is missing is an error
     import __spark_entry__ as entry
 
     from rasterloom.queries import QUERIES, SQL
