@@ -134,19 +134,17 @@ def equalize(px: DataFrame, mode: str = "luminance") -> DataFrame:
     """Histogram equalisation of each band (both modes alike): one histogram of all bands, a table of 256 values for each band of an image, one join by image."""
     stacked = px.select("image_id", F.posexplode(F.array(*BANDS)).alias("band", "v"))
     hist = stacked.groupBy("image_id", "band", "v").agg(F.count("*").alias("n"))
-    counts = hist.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct((F.col("band") * 256 + F.col("v")).alias("k"), "n"))).alias("h"))
-    full = lambda band: F.transform(F.sequence(F.lit(0), F.lit(255)), lambda v: F.coalesce(F.element_at("h", F.lit(256 * band) + v), F.lit(0)))
-
-    def table(h):
-        """[sum so far, next places]: one fold over the counts."""
-        last = F.element_at(F.filter(h, lambda n: n > 0), -1)
-        step = F.floor((F.aggregate(h, F.lit(0).cast("long"), lambda s, n: s + n) - last) / 255)
-        start = F.struct(F.lit(0).cast("long").alias("before"), F.array().cast("array<int>").alias("t"))
-        place = lambda s: F.when(step == 0, F.size(s["t"])).otherwise(F.least(F.lit(255), F.floor((F.floor(step / 2) + s["before"]) / step))).cast("int")
-        return F.aggregate(h, start, lambda s, n: F.struct((s["before"] + n).alias("before"), F.array_append(s["t"], place(s)).alias("t")))["t"]
-
-    tables = counts.select("image_id", *(full(i).alias(f"__h{c}") for i, c in enumerate(BANDS))).select("image_id", *(table(F.col(f"__h{c}")).alias(f"__t{c}") for c in BANDS))
-    return px.join(tables, "image_id").select("image_id", "y", "x", *(F.element_at(f"__t{c}", F.col(c) + 1).alias(c) for c in BANDS))
+    none = hist.select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(0), F.lit(767))).alias("k"))  # every value of every band, for whole tables
+    none = none.select("image_id", F.floor(F.col("k") / 256).cast("int").alias("band"), (F.col("k") % 256).cast("int").alias("v"), F.lit(0).cast("long").alias("n"))
+    full = hist.unionByName(none).groupBy("image_id", "band", "v").agg(F.sum("n").alias("n"))
+    whole = Window.partitionBy("image_id", "band")
+    before = F.coalesce(F.sum("n").over(whole.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = F.max_by("n", F.when(F.col("n") > 0, F.col("v"))).over(whole)
+    step = F.floor((F.sum("n").over(whole) - last) / 255)
+    full = full.select("image_id", "band", "v", before.alias("before"), step.alias("step"))
+    value = F.when(F.col("step") == 0, F.col("v")).otherwise(F.least(F.lit(255), F.floor((F.floor(F.col("step") / 2) + F.col("before")) / F.col("step")))).cast("int")
+    tables = full.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("band", "v", value.alias("to")))).alias("t")).select("image_id", F.col("t.to").alias("__t"))
+    return px.join(tables, "image_id").select("image_id", "y", "x", *(F.element_at("__t", F.col(c) + (256 * k + 1)).alias(c) for k, c in enumerate(BANDS)))
 
 
 def ensure_rgb(rgba: DataFrame) -> DataFrame:
