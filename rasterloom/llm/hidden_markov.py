@@ -126,48 +126,68 @@ def lanes(sequences: list[np.ndarray]):
         yield group
 
 
-def recursion(model: Hmm, sequences: list[np.ndarray], learn: bool):
+class Space(dict):
+    """Arrays that outlive a call, so that their memory is touched once for a task."""
+
+    def array(self, name: str, shape: tuple, kind) -> np.ndarray:
+        size, held = int(np.prod(shape)), self.get(name)
+        if held is None or held.size < size or held.dtype != kind:
+            self[name] = held = np.zeros(size, kind)
+        return held[:size].reshape(shape)
+
+
+def recursion(model: Hmm, sequences: list[np.ndarray], learn: bool, space: Space | None = None):
     """Natural-log likelihoods and, if ``learn``, the expected counts (start, move, emit) of
     non-empty sequences of classes, all of them together, longest first."""
-    k = len(model.start)
+    space, k, kind = Space() if space is None else space, len(model.start), model.emit.dtype
     lengths = np.array([len(s) for s in sequences])
-    steps, width = lengths[0], len(sequences)
-    tokens, kind = np.zeros((steps, width), np.int32), model.emit.dtype
+    steps, width = int(lengths[0]), len(sequences)
+    tokens = space.array("tokens", (steps, width), np.int32)
+    tokens[lengths[-1] :] = CLASSES + 1  # emitted by no state
     for d, s in enumerate(sequences):
         tokens[: len(s), d] = s
-    active = (lengths[None, :] > np.arange(steps)[:, None]).sum(1).tolist()
-    b, ones = model.emit[tokens], np.ones(k, kind)
-    alpha, scale = np.zeros((steps, width, k), kind) if learn else None, np.ones((steps, width), kind)
-    a = model.start * b[0]
-    for t, n in enumerate(active):
-        if t:
-            a = a[:n] @ model.move
-            a *= b[t, :n]
-        c = a @ ones
-        a /= c[:, None]
-        scale[t, :n] = c
-        if learn:
-            alpha[t, :n] = a
+    # runs of steps that the same number of sequences reach
+    ends = np.unique(lengths)
+    runs = list(zip([0, *ends[:-1].tolist()], ends.tolist(), (width - np.searchsorted(lengths[::-1], ends, "left")).tolist()))
+    emit, ones = np.concatenate([model.emit, np.zeros((1, k), kind)]), np.ones(k, kind)
+    alpha, scale = space.array("alpha", (steps, width, k), kind), space.array("scale", (steps, width), kind)
+    np.take(emit, tokens, axis=0, out=alpha, mode="clip")
+    scale[lengths[-1] :] = 1
+    if learn:
+        b = space.array("b", alpha.shape, kind)
+        b[:] = alpha
+    came, a = np.empty((width, k), kind), None
+    for first, end, n in runs:
+        a, to = a if a is None else a[:n], came[:n]
+        for now, c, column in zip(alpha[first:end, :n], scale[first:end, :n], scale[first:end, :n, None]):
+            now *= model.start if a is None else np.matmul(a, model.move, out=to)
+            np.matmul(now, ones, out=c)
+            now /= column
+            a = now
     likelihood = np.log(scale).sum(0, dtype=np.float64)
     if not learn:
         return likelihood, None
     # backwards; b becomes emission times beta, scaled, and alpha times beta what each state expects of a token
-    beta, mt = np.ones((steps, width, k), kind), np.ascontiguousarray(model.move.T)
+    beta, back, after = space.array("beta", alpha.shape, kind), np.ascontiguousarray(model.move.T), 0
     b /= scale[:, :, None]
-    for t in range(steps - 2, -1, -1):
-        m = active[t + 1]
-        x = b[t + 1, :m]
-        x *= beta[t + 1, :m]
-        np.matmul(x, mt, out=beta[t, :m])
-        b[t + 1, m:] = 0
+    for first, end, n in reversed(runs):
+        beta[end - 1, after:n] = 1
+        if after:
+            np.matmul(b[end, :after], back, out=beta[end - 1, :after])
+        for x, y, to in zip(b[first + 1 : end, :n][::-1], beta[first + 1 : end, :n][::-1], beta[first : end - 1, :n][::-1]):
+            x *= y
+            np.matmul(x, back, out=to)
+        b[first, :n] *= beta[first, :n]
+        after = n
     move = model.move * (alpha[:-1].reshape(-1, k).T @ b[1:].reshape(-1, k)) if steps > 1 else np.zeros((k, k))
     alpha *= beta
     flat = tokens.ravel().astype(np.int16)
-    order = np.argsort(flat, kind="stable")
-    where, starts = np.unique(flat[order], return_index=True)
-    emit = np.zeros((CLASSES + 1, k))
-    emit[where] = np.add.reduceat(alpha.reshape(-1, k)[order], starts, 0)
-    return likelihood, (alpha[0].sum(0), move, emit)
+    number = np.bincount(flat, minlength=CLASSES + 2)[: CLASSES + 1]
+    where = np.flatnonzero(number)
+    by_class = np.take(alpha.reshape(-1, k), np.argsort(flat, kind="stable"), axis=0, out=b.reshape(-1, k), mode="clip")
+    emitted = np.zeros((CLASSES + 1, k))
+    emitted[where] = np.add.reduceat(by_class[: number.sum()], (np.cumsum(number) - number)[where], 0)
+    return likelihood, (alpha[0].sum(0), move, emitted)
 
 
 def _add(total, some):
@@ -186,7 +206,7 @@ def _expect(model: Hmm, one_in: int):
     class; -1 the starts, -2 - i the moves from state i, and below these the log likelihood in s0."""
 
     def run(batches):
-        total, k = None, len(model.start)
+        total, k, space = None, len(model.start), Space()
         quick = Hmm(*(x.astype(np.float32) for x in (model.start, model.move, model.emit)))
         for b in batches:
             for docs, train, lengths, tokens, keys in zip(*(b.column(i).to_pylist() for i in range(5))):
@@ -196,7 +216,7 @@ def _expect(model: Hmm, one_in: int):
                     use &= mix64(ids + np.uint64(0x9E3779B97F4A7C15)) % np.uint64(one_in) == 0
                 some = _classes(_unpack(tokens), np.frombuffer(lengths, np.int32), np.frombuffer(keys, np.uint64), use)
                 for group in lanes(some):
-                    likelihood, counts = recursion(quick, [some[i] for i in group], True)
+                    likelihood, counts = recursion(quick, [some[i] for i in group], True, space)
                     total = _add(total, (*(c.astype(np.float64) for c in counts), likelihood.sum(dtype=np.float64)))
         if total is not None:
             start, move, emit, likelihood = total
@@ -219,7 +239,7 @@ def _score(model: Hmm, n: int, v: int, ends: int, in_class: np.ndarray):
     log_all = np.log10(n + 0.1 * (v + 1))
 
     def run(key, chunks: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out, space = [], Space()
         for docs, train, lengths, tokens, keys in zip(*(chunks[c] for c in ("docs", "train", "lengths", "tokens", "keys"))):
             keys, tokens, lengths = np.frombuffer(keys, np.uint64), _unpack(tokens), np.frombuffer(lengths, np.int32)
             count = np.zeros(len(keys), np.int64)
@@ -234,7 +254,7 @@ def _score(model: Hmm, n: int, v: int, ends: int, in_class: np.ndarray):
             sequences = _classes(tokens, lengths, keys)
             chain = np.zeros(len(sequences))
             for group in lanes(sequences):
-                chain[group] = recursion(model, [sequences[i] for i in group], False)[0]
+                chain[group] = recursion(model, [sequences[i] for i in group], False, space)[0]
             out.append(pd.DataFrame({"doc_id": pd.array(docs, dtype="Int64"), "n_tokens": (lengths + 1).astype(np.int64), "n_known": known, "train_tokens": n, "base_score": base, "score": chain / np.log(10) + words}))
         return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "n_tokens": [], "n_known": [], "train_tokens": [], "base_score": [], "score": []})
 
