@@ -206,18 +206,26 @@ def _expect(model: Hmm, one_in: int):
     class; -1 the starts, -2 - i the moves from state i, and below these the log likelihood in s0."""
 
     def run(batches):
-        total, k, space = None, len(model.start), Space()
+        total, k, space, some = None, len(model.start), Space(), []
         quick = Hmm(*(x.astype(np.float32) for x in (model.start, model.move, model.emit)))
+
+        def add() -> None:
+            nonlocal total
+            for group in lanes(some):
+                likelihood, counts = recursion(quick, [some[i] for i in group], True, space)
+                total = _add(total, (*(c.astype(np.float64) for c in counts), likelihood.sum(dtype=np.float64)))
+            some.clear()
+
         for b in batches:
             for docs, train, lengths, tokens, keys in zip(*(b.column(i).to_pylist() for i in range(5))):
                 use = np.frombuffer(train, np.uint8).astype(bool)
                 if one_in > 1:
                     ids = np.array([-1 if d is None else d for d in docs], np.int64).view(np.uint64)
                     use &= mix64(ids + np.uint64(0x9E3779B97F4A7C15)) % np.uint64(one_in) == 0
-                some = _classes(_unpack(tokens), np.frombuffer(lengths, np.int32), np.frombuffer(keys, np.uint64), use)
-                for group in lanes(some):
-                    likelihood, counts = recursion(quick, [some[i] for i in group], True, space)
-                    total = _add(total, (*(c.astype(np.float64) for c in counts), likelihood.sum(dtype=np.float64)))
+                some += _classes(_unpack(tokens), np.frombuffer(lengths, np.int32), np.frombuffer(keys, np.uint64), use)
+                if sum(map(len, some)) >= LANES:  # few texts of a chunk would make narrow lanes
+                    add()
+        add()
         if total is not None:
             start, move, emit, likelihood = total
             ids = np.concatenate([np.arange(CLASSES + 1), [-1], -2 - np.arange(k + 1)])
