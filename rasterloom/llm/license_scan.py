@@ -1,14 +1,14 @@
 """License scans: TF-IDF cosine of headers and licence files to templates, then inheritance along directories.
 
 Everything is a DataFrame expression. A file's passages are its lines, its blocks of several lines (up to a blank
-line; comment marks are no terms, so a wrapped header is one block) and the whole text. Lines are held
-against one-line notices, the others against all templates: notices, headers and full licence texts.
+line; comment marks are no terms, so a wrapped header is one block) and the whole text. Every passage is held
+against all templates: notices, headers and full licence texts.
 
-A line that shares none of a notice's heaviest terms cannot reach the threshold (the rest of the
-notice is too short a vector), so one pass of a pattern leaves the few lines that are compared
-exactly. Blocks and texts are compared if they hold a word of MARKERS and half of their distinct terms are
-those of templates. All terms, of templates or not, weigh by their document frequency over the whole
-corpus: passages' terms are joined with the corpus counts.
+Two bounds leave out passages that cannot reach the threshold, and no others. By Cauchy and Schwarz a passage
+has to hold terms that make up threshold squared of a template's squared length: one of a notice's heaviest terms for
+a line, a share of the terms that are rarest in the corpus for the others. And the terms that it
+shares with the template have to make up as much of its own squared length. What is left is compared exactly. All terms,
+of templates or not, weigh by their document frequency over the whole corpus: passages' terms are joined with the corpus counts.
 
 A file without a notice inherits from the nearest directory above it that holds a licence file: the
 distinct directories are joined with their ancestors' licences by path.
@@ -46,9 +46,8 @@ LONG = [(p.stem.partition("~")[0], p.read_text(encoding="utf-8")) for p in sorte
 THRESHOLD = 0.75
 #: A file of whose words at least this share are notices is a licence file whatever its name.
 NOTICE_SHARE = 0.3
-#: Of a block's or text's distinct terms at least this share are the templates'.
-KNOWN_SHARE = 0.5
-MARKERS = r"(?i)licen[cs]e|copyright|permission|redistribut|warrant|public domain"
+#: Bounds are relaxed by this share, far more than rounding takes.
+SLACK = 1e-8
 NAMED = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)([._-][^/]*)?$"
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 BLANK = r"\n(?:[^a-zA-Z0-9\n]*\n)+"
@@ -65,13 +64,24 @@ def anchors(vectors: Iterable[dict[str, float]], threshold: float) -> set[str]:
     for v in vectors:
         total, rest = math.fsum(x * x for x in v.values()), dict(v)
         for t in sorted(v, key=lambda t: (-v[t], t)):
-            if math.fsum(x * x for x in rest.values()) < threshold**2 * total * (1 - 1e-9):
+            if math.fsum(x * x for x in rest.values()) < threshold**2 * total * (1 - SLACK):
                 break
             out.add(t)
             del rest[t]
     return out
 
 
+def rarest(v: dict[str, float], counted: dict[str, int], threshold: float) -> tuple[dict[str, float], float]:
+    """A template's rarest terms with their shares of its squared length, and how much of these a passage needs to reach the threshold."""
+    total, rest = math.fsum(x * x for x in v.values()), {t: x * x for t, x in v.items()}
+    need, core = threshold**2 * (1 - SLACK), {}
+    for t in sorted(v, key=lambda t: (counted.get(t, 0), -v[t], t)):
+        if math.fsum(rest.values()) < need * total / 2:
+            break
+        core[t] = rest.pop(t) / total
+    return core, need - math.fsum(rest.values()) / total
+
+
 def license_scan(spark: SparkSession, files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, long: list[tuple[str, str]] = LONG) -> DataFrame:
     """Rows (path, license, score, how, from_path, n_notices), one per row of ``files(path, text)``.
 
@@ -92,6 +102,7 @@ def license_scan(spark: SparkSession, files: DataFrame, templates: dict[str, str
     names, lists = [k for k, _ in every], [terms(t) for _, t in every]
     short = [i for i, x in enumerate(every) if templates.get(x[0]) == x[1]]
     vocabulary = sorted({t for v in lists for t in v})
+    words_of = lambda terms: F.split(F.lit(" ".join(sorted(terms))), " ")
     found_terms = lambda col: F.regexp_extract_all(ascii_lower(col), F.lit(f"({TERM})"), 1)
 
     # document frequencies of all terms over the corpus: one row per term
@@ -107,28 +118,58 @@ def license_scan(spark: SparkSession, files: DataFrame, templates: dict[str, str
         need = sorted(anchors((vectors[i] for i in short), threshold), key=lambda t: (-len(t), t))
         hint = "(?i)(?<![a-z0-9])(" + "|".join(map(re.escape, need)) + ")(?![a-z0-9])"
 
+        # what bounds take of each template: its terms, the rarest with their shares, how much of these is needed, its largest idf
+        most = counts.agg(F.max("count")).first()[0] or 0
+        floor = math.log((1 + n) / (1 + most)) + 1  # no term weighs less
+        cores = [rarest(v, counted, threshold) for v in vectors]
+        core_terms = words_of({t for core, _ in cores for t in core})
+        bound = lambda i: F.struct(words_of(vectors[i]).alias("terms"), F.str_to_map(F.lit(" ".join(f"{t}:{x!r}" for t, x in cores[i][0].items())), F.lit(" "), F.lit(":")).cast("map<string,double>").alias("core"), F.lit(cores[i][1]).alias("need"), F.lit(max(idf[t] for t in vectors[i]) ** 2).alias("square"))
+        bounds = F.array(*(bound(i) for i in range(len(vectors))))
+        bounds_long = F.array(*(bound(i) for i in range(len(vectors)) if i not in short)) if len(short) < len(vectors) else None
+        covers = lambda rare, t: F.aggregate(rare, F.lit(0.0), lambda a, x: a + F.coalesce(t["core"][x], F.lit(0.0))) >= t["need"]
+        covered = lambda rare, over: F.lit(False) if over is None else (F.size(rare) > 0) & F.exists(over, lambda t: covers(rare, t))
+
+        def prepared(tokens):
+            """An array of token lists as structs of the tokens, the distinct ones and the rarest of templates' ones among these."""
+            both = F.transform(tokens, lambda x: F.struct(x.alias("tokens"), F.array_distinct(x).alias("distinct")))
+            return F.transform(both, lambda p: F.struct(p["tokens"].alias("tokens"), p["distinct"].alias("distinct"), F.array_intersect(core_terms, p["distinct"]).alias("rare")))
+
+        def reaches(p, over):
+            """Whether a prepared passage may reach the threshold. Of n tokens, d distinct, s shared ones weigh most if the others come once and the shared ones equally often."""
+            d = F.size(p["distinct"])
+
+            def weighs(t):
+                shared = F.size(F.array_intersect(t["terms"], p["distinct"]))
+                top = t["square"] * shared * F.pow(1 + F.log((F.size(p["tokens"]) - d + shared) / shared), F.lit(2.0))
+                return top * (1 - threshold**2) >= (threshold * floor) ** 2 * (1 - SLACK) * (d - shared)
+
+            return F.lit(False) if over is None else (F.size(p["rare"]) > 0) & F.exists(over, lambda t: covers(p["rare"], t) & weighs(t))
+
         # the file's number of words and its candidate passages' terms: one narrow row
-        lines = F.transform(F.filter(F.split("text", "\n"), lambda x: x.rlike(hint)), lambda x: found_terms(x))
-        blocks = F.filter(F.split(F.regexp_replace("text", "\r\n?", "\n"), BLANK), lambda x: x.rlike(r"\n") & x.rlike(MARKERS))
+        rare = files.select("path", "text", F.array_intersect(core_terms, split_terms).alias("rare"))
+        gates = rare.select("path", "text", covered(F.col("rare"), bounds).alias("any"), covered(F.col("rare"), bounds_long).alias("long"))
+        all_lines = F.split("text", "\n")
+        long_line = lambda x: F.exists(prepared(F.array(found_terms(x))), lambda p: reaches(p, bounds_long))
+        lines = F.when(F.col("long"), F.filter(all_lines, lambda x: x.rlike(hint) | long_line(x))).otherwise(F.filter(all_lines, lambda x: x.rlike(hint)))
+        blocks = F.filter(F.split(F.regexp_replace("text", "\r\n?", "\n"), BLANK), lambda x: x.rlike(r"\n"))
         whole = F.filter(F.array("text"), lambda x: x.rlike("(?s)[^\n]" + BLANK + "."))
-        several = F.transform(F.concat(blocks, whole), lambda x: found_terms(x))
-        shared = lambda x: F.size(F.array_intersect(x, F.lit(vocabulary))) >= KNOWN_SHARE * F.size(F.array_distinct(x))
-        several = F.when(F.col("text").rlike(MARKERS), F.filter(several, shared)).otherwise(F.expr("cast(array() as array<array<string>>)"))
+        several = prepared(F.transform(F.concat(blocks, whole), lambda x: found_terms(x)))
+        several = F.when(F.col("any"), F.transform(F.filter(several, lambda p: reaches(p, bounds)), lambda p: p["tokens"])).otherwise(F.expr("cast(array() as array<array<string>>)"))
+        passages = F.concat(F.transform(lines, lambda x: found_terms(x)), several)
         words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-        narrow = scratch.table(files.select(F.monotonically_increasing_id().alias("id"), "path", words.alias("words"), lines.alias("lines"), several.alias("several")))
+        narrow = scratch.table(gates.select(F.monotonically_increasing_id().alias("id"), "path", words.alias("words"), passages.alias("passages")))
 
         # the candidates' terms with their weights: one row per passage and distinct term
-        passages = F.concat(F.transform("lines", lambda x: F.struct(F.lit(True).alias("one"), x.alias("tokens"))), F.transform("several", lambda x: F.struct(F.lit(False).alias("one"), x.alias("tokens"))))
-        passages = narrow.select("id", F.posexplode(passages).alias("passage", "p"))
-        tokens = passages.select("id", "passage", "p.one", F.size("p.tokens").alias("n"), F.explode("p.tokens").alias("term"))
+        passages = narrow.select("id", F.posexplode("passages").alias("passage", "tokens"))
+        tokens = passages.select("id", "passage", F.size("tokens").alias("n"), F.explode("tokens").alias("term"))
         weight = (F.log(F.col("times")) + 1) * (F.log(F.lit(1.0 + n) / (1 + F.col("count"))) + 1)
-        weighed = tokens.groupBy("id", "passage", "one", "n", "term").agg(F.count("*").alias("times")).join(counts, "term")
-        weighed = scratch.table(weighed.select("id", "passage", "one", "n", "term", weight.alias("w")))
+        weighed = tokens.groupBy("id", "passage", "n", "term").agg(F.count("*").alias("times")).join(counts, "term")
+        weighed = scratch.table(weighed.select("id", "passage", "n", "term", weight.alias("w")))
 
         # best template of a passage: largest cosine, then the first by name
-        known = spark.createDataFrame([(t, i, i in short, v[t] / norms[i]) for i, v in enumerate(vectors) for t in sorted(v)], "term string, i int, short boolean, x double")
+        known = spark.createDataFrame([(t, i, v[t] / norms[i]) for i, v in enumerate(vectors) for t in sorted(v)], "term string, i int, x double")
         length = weighed.groupBy("id", "passage", "n").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-        dots = weighed.join(F.broadcast(known), "term").where("short OR NOT one").groupBy("id", "passage", "i").agg(F.sum(F.col("w") * F.col("x")).alias("dot"))
+        dots = weighed.join(F.broadcast(known), "term").groupBy("id", "passage", "i").agg(F.sum(F.col("w") * F.col("x")).alias("dot"))
         scored = dots.join(length, ["id", "passage"]).select("id", "passage", "n", "i", F.round(F.col("dot") / F.col("length"), 9).alias("score")).where(F.col("score") >= threshold)
         best = scored.groupBy("id", "passage").agg(F.max(F.struct("score", (-F.col("i")).alias("order"), F.element_at(F.lit(names), F.col("i") + 1).alias("license"), "n")).alias("notice"))
         notices = best.groupBy("id").agg(F.collect_list("notice").alias("notices"))

@@ -5,6 +5,7 @@ import hashlib
 import math
 import pathlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -332,6 +333,38 @@ def test_license_scan_knows_texts_and_headers(spark):
     assert all(v == (None, "none") for p, v in got.items() if p not in want)
 
 
+def test_license_scan_leaves_out_no_passage(spark):
+    """All lines, blocks and texts against all templates: one-line licences, notices over two lines, texts without marker words, mixtures."""
+    from rasterloom.llm.license_scan import BLANK, LONG, TEMPLATES, THRESHOLD, license_scan, terms
+
+    rng = random.Random(7)
+    long = dict((name + str(i), text) for i, (name, text) in enumerate(LONG))
+    common = [f"common{i}" for i in range(20)]
+    files = [("a/one.txt", " ".join(next(t for k, t in long.items() if k.startswith("MIT")).split())), ("a/two.txt", "All rights\nreserved."), ("a/wide.txt", "Redistribution\n" + " ".join(["all rights reserved", *common[:4]]))]
+    files += [(f"a/few{k}.txt", "Released under the MIT\nLicense " + " ".join(common[:k])) for k in (8, 12, 16)]
+    every = [*TEMPLATES.values(), *long.values()]
+    for i in range(60):
+        some = terms(rng.choice(every))
+        kept = [t for t in some if rng.random() < rng.choice((0.5, 0.8, 1))] + rng.choices(common, k=rng.choice((0, 3, 10, 40)))
+        parts = [kept[j : j + 12] for j in range(0, len(kept), 12)] if i % 3 else [kept]
+        files.append((f"b/{i}.txt", rng.choice(("\n", "\n\n")).join(" ".join(x) for x in parts)))
+    files += [(f"c/{i}.txt", " ".join(common) + f"\nsoftware copy {i}\n\nthe license") for i in range(200)]
+    got = {r["path"]: r for r in rows(license_scan(spark, spark.createDataFrame(files, "path string, text string")))}
+    n, df = len(files), collections.Counter(t for _, text in files for t in set(terms(text)))
+    vector = lambda x: {t: (1 + math.log(c)) * (math.log((1 + n) / (1 + df[t])) + 1) for t, c in collections.Counter(terms(x)).items()}
+    length = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    known = [(v, length(v)) for v in map(vector, every)]
+    hits = 0
+    for path, text in files:
+        passages = text.split("\n") + [b for b in re.split(BLANK, text) if "\n" in b] + [text] * bool(re.search("(?s)[^\n]" + BLANK + ".", text))
+        scores = [max(sum(x * k.get(t, 0) for t, x in v.items()) / (length(v) * m) for k, m in known) for v in map(vector, passages) if v]
+        best = [x for x in scores if round(x, 9) >= THRESHOLD]
+        assert got[path]["n_notices"] == len(best), path
+        assert not best or got[path]["score"] == pytest.approx(max(best), abs=1e-8), path
+        hits += bool(best)
+    assert 30 < hits < 70
+
+
 # 6
 
 
