@@ -82,9 +82,16 @@ def downscale_dims(size: DataFrame, longest: int) -> DataFrame:
 
 
 def resize_nearest(px: DataFrame, scale: float) -> DataFrame:
-    """Each target pixel takes the source pixel under its centre: a join on the source place."""
+    """Each target pixel takes the source pixel under its centre: each source pixel goes to the places whose centres it lies under. Only sizes are joined, by image."""
     dims = resize_dims(sizes(px), "scale", scale)
-    grid = dims.select("*", F.explode(F.sequence(F.lit(0), F.col("new_h") - 1)).alias("ty")).select("*", F.explode(F.sequence(F.lit(0), F.col("new_w") - 1)).alias("tx"))
-    at = lambda t, n, o: F.floor((F.col(t) + 0.5) * F.col(o) / F.col(n)).cast("int")
-    grid = grid.select("image_id", "ty", "tx", at("ty", "new_h", "h").alias("y"), at("tx", "new_w", "w").alias("x"))
-    return grid.join(px, ["image_id", "y", "x"]).select("image_id", F.col("ty").alias("y"), F.col("tx").alias("x"), *BANDS)
+
+    def places(c, n, o):
+        """Target places of the source place ``c``: one more on either side than there can be, of which those that look back at it."""
+        n, o = F.col(n), F.col(o)
+        low, high = F.floor(F.col(c) * n / o - 0.5).cast("int"), F.ceil((F.col(c) + 1) * n / o - 0.5).cast("int")
+        near = F.sequence(F.greatest(F.lit(0), low), F.greatest(F.lit(0), F.least(n - 1, high)))
+        return F.filter(near, lambda t: (t < n) & (F.floor((t + 0.5) * o / n).cast("int") == F.col(c)))
+
+    px = px.join(dims.hint("shuffle_hash"), "image_id")
+    px = px.select("image_id", "x", F.explode(places("y", "new_h", "h")).alias("ty"), "new_w", "w", *BANDS)
+    return px.select("image_id", F.col("ty").alias("y"), F.explode(places("x", "new_w", "w")).alias("tx"), *BANDS).withColumnRenamed("tx", "x").select("image_id", "y", "x", *BANDS)

@@ -6,6 +6,7 @@ form has one row per image, ``(image_id, w, h, data)``, data the row-major RGB b
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 
@@ -21,12 +22,20 @@ PACKED = "image_id long, w int, h int, data binary"
 WIDTH, HEIGHT = 64, 48
 #: Size of the images that every working size scales down.
 LARGE = (1700, 1100)
+#: Images of a partition, at most about.
+SPREAD = 128
+
+
+def spread(ids: DataFrame) -> DataFrame:
+    """``ids(image_id)`` dealt out by hash. A small file would be one task however many pixels follow; what goes by image then needs no exchange of pixels."""
+    parts = max(ids.sparkSession.sparkContext.defaultParallelism, math.ceil(ids.count() / SPREAD))
+    return ids.repartition(parts, "image_id")
 
 
 def gradient_images(spark: SparkSession, sf_dir: str, width: int = WIDTH, height: int = HEIGHT) -> DataFrame:
     """An integer-formula RGB image per row of ``embeddings``."""
     i = F.col("image_id")
-    grid = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("image_id"))
+    grid = spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("image_id")))
     grid = grid.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y")).select("image_id", "y", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"))
     x, y = F.col("x"), F.col("y")
     value = lambda v: (v % 256).cast("int")

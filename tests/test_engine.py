@@ -350,3 +350,35 @@ def test_without_the_training_subpackage():  # with it, a dependency that is mis
     from rasterloom.queries import QUERIES, SQL
 
     assert set(SQL) <= set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def joins(df):
+    """How often a plan broadcasts, merges, or exchanges rows of pixels."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [x for x in ("BroadcastExchange", "SortMergeJoin") if x in plan]
+
+
+@pytest.mark.parametrize("scale", [0.07, 0.3, 0.5, 1, 1.7, 3])
+def test_resize_nearest_takes_the_pixel_under_the_centre(spark, scale):
+    import pandas as pd
+
+    from rasterloom.operators.geometry import resize_nearest
+    from rasterloom.sources.rasters import image_array, pixel_frame
+
+    some = [*images(1), *images(1, 7, 31), *images(1, 1, 1)]
+    px = spark.createDataFrame(pd.concat([pixel_frame(i, a) for i, a in enumerate(some)]), "image_id long, y int, x int, r int, g int, b int")
+    resized = resize_nearest(px, scale)
+    assert not joins(resized)  # before: all pixels were broadcast
+    got = resized.toPandas()
+    for i, a in enumerate(some):
+        h, w = (max(1, round(n * scale)) for n in a.shape[:2])
+        y, x = (np.floor((np.arange(n) + 0.5) * o / n).astype(int) for n, o in ((h, a.shape[0]), (w, a.shape[1])))
+        mine = got[got["image_id"] == i]
+        assert len(mine) == h * w and (image_array(mine) == a[y][:, x]).all()
+
+
+def test_pixels_of_a_small_file_are_many_tasks(spark):
+    from rasterloom.sources.rasters import gradient_images, spread
+
+    assert gradient_images(spark, SMALL).rdd.getNumPartitions() == 4
+    assert spread(spark.range(1000).withColumnRenamed("id", "image_id")).rdd.getNumPartitions() == 8
