@@ -115,7 +115,7 @@ def channel_transfer(px: DataFrame, mean: tuple, std: tuple) -> DataFrame:
     sums = px.groupBy("image_id").agg(F.count("*").alias("n"), *(F.sum(c).alias(f"s{c}") for c in BANDS), *(F.sum(F.col(c) * F.col(c)).alias(f"q{c}") for c in BANDS))
     spread_of = lambda c: F.sqrt((F.col("n") * F.col(f"q{c}") - F.col(f"s{c}") * F.col(f"s{c}")).cast("double")) / F.col("n")
     stats = sums.select("image_id", *((F.col(f"s{c}") / F.col("n")).alias(f"__m{c}") for c in BANDS), *(spread_of(c).alias(f"__s{c}") for c in BANDS))
-    px = px.join(stats, "image_id")
+    px = px.join(stats.hint("shuffle_hash"), "image_id")  # a hash table of a row an image, never of pixels
     spread = lambda c: F.when(F.col(f"__s{c}") < 1e-6, F.lit(1.0)).otherwise(F.col(f"__s{c}"))
     out = {c: clip((F.col(c) - F.col(f"__m{c}")) * F.lit(float(s)) / spread(c) + F.lit(float(m))) for c, m, s in zip(BANDS, mean, std)}
     return px.withColumns(out).drop(*(f"__{k}{c}" for k in "ms" for c in BANDS))

@@ -382,3 +382,9 @@ def test_pixels_of_a_small_file_are_many_tasks(spark):
 
     assert gradient_images(spark, SMALL).rdd.getNumPartitions() == 4
     assert spread(spark.range(1000).withColumnRenamed("id", "image_id")).rdd.getNumPartitions() == 8
+
+
+def test_channel_transfer_joins_no_pixels(spark):
+    from rasterloom.queries import QUERIES
+
+    assert not joins(QUERIES["style_channel_transfer"](spark, SMALL))
