@@ -134,17 +134,17 @@ def equalize(px: DataFrame, mode: str = "luminance") -> DataFrame:
     """Histogram equalisation of each band (both modes alike): one histogram of all bands, a table of 256 values for each band of an image, one join by image."""
     stacked = px.select("image_id", F.posexplode(F.array(*BANDS)).alias("band", "v"))
     hist = stacked.groupBy("image_id", "band", "v").agg(F.count("*").alias("n"))
-    none = hist.select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(0), F.lit(767))).alias("k"))  # every value of every band, for whole tables
-    none = none.select("image_id", F.floor(F.col("k") / 256).cast("int").alias("band"), (F.col("k") % 256).cast("int").alias("v"), F.lit(0).cast("long").alias("n"))
-    full = hist.unionByName(none).groupBy("image_id", "band", "v").agg(F.sum("n").alias("n"))
-    whole = Window.partitionBy("image_id", "band")
-    before = F.coalesce(F.sum("n").over(whole.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    last = F.max_by("n", F.when(F.col("n") > 0, F.col("v"))).over(whole)
-    step = F.floor((F.sum("n").over(whole) - last) / 255)
-    full = full.select("image_id", "band", "v", before.alias("before"), step.alias("step"))
+    whole = Window.partitionBy("image_id", "band").orderBy("v")
+    every = whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = F.coalesce(F.sum("n").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    step = F.floor((F.sum("n").over(every) - F.last("n").over(every)) / 255)
+    after = F.coalesce(F.lead("v").over(whole), F.lit(256))
+    steps = hist.select("image_id", "band", "v", before.alias("before"), step.alias("step"), after.alias("after"), F.lag("v").over(whole).isNull().alias("first"))
     value = F.when(F.col("step") == 0, F.col("v")).otherwise(F.least(F.lit(255), F.floor((F.floor(F.col("step") / 2) + F.col("before")) / F.col("step")))).cast("int")
-    tables = full.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("band", "v", value.alias("to")))).alias("t")).select("image_id", F.col("t.to").alias("__t"))
-    return px.join(tables, "image_id").select("image_id", "y", "x", *(F.element_at("__t", F.col(c) + (256 * k + 1)).alias(c) for k, c in enumerate(BANDS)))
+    # whole tables: a value's entry is repeated up to the next value's, the first one's from 0 on; entries of values that don't occur are never read
+    part = F.array_repeat(value, (F.col("after") - F.when(F.col("first"), 0).otherwise(F.col("v"))).cast("int"))
+    tables = steps.select("image_id", "band", "v", part.alias("to")).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("band", "v", "to"))).alias("t")).select("image_id", F.flatten("t.to").alias("__t"))
+    return px.join(tables.hint("shuffle_hash"), "image_id").select("image_id", "y", "x", *(F.element_at("__t", F.col(c) + (256 * k + 1)).alias(c) for k, c in enumerate(BANDS)))
 
 
 def ensure_rgb(rgba: DataFrame) -> DataFrame:

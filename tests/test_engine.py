@@ -388,3 +388,18 @@ def test_channel_transfer_joins_no_pixels(spark):
     from rasterloom.queries import QUERIES
 
     assert not joins(QUERIES["style_channel_transfer"](spark, SMALL))
+
+
+def test_equalize_joins_no_pixels_and_has_whole_tables(spark):
+    import pandas as pd
+
+    from rasterloom.operators.points import equalize
+    from rasterloom.queries import QUERIES
+    from rasterloom.sources.rasters import image_array, pixel_frame
+
+    assert not joins(QUERIES["equalize"](spark, SMALL))
+    some = [*images(2, 40, 50), np.full((9, 2, 3), 200, np.uint8), np.zeros((1, 1, 3), np.uint8), np.where(images(1, 60, 60)[0] < 128, 0, 255).astype(np.uint8), images(1, 60, 60)[0] // 4 + 90]
+    px = spark.createDataFrame(pd.concat([pixel_frame(i, a) for i, a in enumerate(some)]), "image_id long, y int, x int, r int, g int, b int")
+    got = equalize(px).toPandas()
+    for i, a in enumerate(some):
+        assert (image_array(got[got["image_id"] == i]) == k.equalize(a)).all()
