@@ -51,7 +51,12 @@ def threshold_coverage(px: DataFrame) -> DataFrame:
 def diff_metrics(a: DataFrame, b: DataFrame) -> DataFrame:
     """Of images of equal sizes; :func:`aligned` makes them so. ``mse`` is the mean absolute gray difference, as the metric is defined here; ``mse_true`` its square's mean."""
     other = b.select("image_id", "y", "x", *(F.col(c).alias(f"__{c}") for c in BANDS))
-    d = a.join(other, ["image_id", "y", "x"]).withColumns({c: F.abs(F.col(c) - F.col(f"__{c}")) for c in BANDS})
+    return paired_metrics(a.join(other.hint("merge"), ["image_id", "y", "x"]))
+
+
+def paired_metrics(pairs: DataFrame) -> DataFrame:
+    """:func:`diff_metrics` of pixels with both values in a row, ``r, g, b`` and ``__r, __g, __b``: for an image and what a point operator makes of it no join is needed."""
+    d = pairs.withColumns({c: F.abs(F.col(c) - F.col(f"__{c}")) for c in BANDS})
     m = d.select("image_id", luma().alias("d")).groupBy("image_id").agg(F.avg("d").alias("m"), F.avg(F.col("d") * F.col("d")).alias("sq"), F.avg((F.col("d") > 8).cast("double")).alias("changed"))
     rmse = F.sqrt("m")
     psnr = F.when(F.col("m") < 1e-9, F.lit(100.0)).otherwise(F.lit(20.0) * F.log10(F.lit(255.0) / F.greatest(rmse, F.lit(1e-6))))

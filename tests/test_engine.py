@@ -403,3 +403,16 @@ def test_equalize_joins_no_pixels_and_has_whole_tables(spark):
     got = equalize(px).toPandas()
     for i, a in enumerate(some):
         assert (image_array(got[got["image_id"] == i]) == k.equalize(a)).all()
+
+
+def test_diff_metrics_of_pairs_and_of_two_tables(spark):
+    from rasterloom.operators import analysis, points
+    from rasterloom.queries import QUERIES
+    from rasterloom.sources.rasters import gradient_images
+
+    got = QUERIES["diff_metrics"](spark, SMALL)
+    assert not joins(got)
+    px = gradient_images(spark, SMALL)
+    two = analysis.diff_metrics(px, points.brightness(px, 25))
+    assert "BroadcastExchange" not in joins(two)
+    assert normal(two.toPandas()).equals(normal(got.toPandas()))
