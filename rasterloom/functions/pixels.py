@@ -39,7 +39,11 @@ def lookup(table: list[int], v: Column) -> Column:
 
 def hsv(r="r", g="g", b="b") -> tuple[Column, Column, Column]:
     """Hue in degrees, saturation and value in 0..1, of 8-bit bands."""
-    r, g, b = (F.col(c) / F.lit(255.0) for c in (r, g, b))
+    return unit_hsv(*(F.col(c) / F.lit(255.0) for c in (r, g, b)))
+
+
+def unit_hsv(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
+    """The same of bands in 0..1."""
     top, low = F.greatest(r, g, b), F.least(r, g, b)
     d = top - low
     hue = F.when(d == 0, F.lit(0.0)).when(top == r, (g - b) / d).when(top == g, F.lit(2.0) + (b - r) / d).otherwise(F.lit(4.0) + (r - g) / d)
@@ -49,7 +53,10 @@ def hsv(r="r", g="g", b="b") -> tuple[Column, Column, Column]:
 
 def color_name(r="r", g="g", b="b") -> Column:
     """A coarse name: nearly gray by brightness, else by hue."""
-    hue, s, v = hsv(r, g, b)
+    return hsv_name(*hsv(r, g, b))
+
+
+def hsv_name(hue: Column, s: Column, v: Column) -> Column:
     out = F.when(s < 0.15, F.when(v > 0.6, "white").otherwise("dark"))
     for end, name in HUES:
         out = out.when(hue < end, name)

@@ -416,3 +416,11 @@ def test_diff_metrics_of_pairs_and_of_two_tables(spark):
     two = analysis.diff_metrics(px, points.brightness(px, 25))
     assert "BroadcastExchange" not in joins(two)
     assert normal(two.toPandas()).equals(normal(got.toPandas()))
+
+
+def test_color_names_computes_the_hue_once(spark):
+    from rasterloom.queries import QUERIES
+
+    names = QUERIES["color_names"](spark, SMALL)
+    plan = names._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("/ 255.0") == 3 and plan.count("* 60.0") == 1  # before: once for each name
