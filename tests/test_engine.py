@@ -353,7 +353,7 @@ def test_without_the_training_subpackage():  # with it, a dependency that is mis
 
 
 def joins(df):
-    """How often a plan broadcasts, merges, or exchanges rows of pixels."""
+    """The joins of a plan that broadcast or sort pixels."""
     plan = df._jdf.queryExecution().executedPlan().toString()
     return [x for x in ("BroadcastExchange", "SortMergeJoin") if x in plan]
 
@@ -368,7 +368,7 @@ def test_resize_nearest_takes_the_pixel_under_the_centre(spark, scale):
     some = [*images(1), *images(1, 7, 31), *images(1, 1, 1)]
     px = spark.createDataFrame(pd.concat([pixel_frame(i, a) for i, a in enumerate(some)]), "image_id long, y int, x int, r int, g int, b int")
     resized = resize_nearest(px, scale)
-    assert not joins(resized)  # before: all pixels were broadcast
+    assert not joins(resized)  # before: pixels were joined by place
     got = resized.toPandas()
     for i, a in enumerate(some):
         h, w = (max(1, round(n * scale)) for n in a.shape[:2])
